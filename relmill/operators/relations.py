@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import keep_where
 from relmill.functions.text import (
     compact,
     contains,
@@ -303,7 +304,7 @@ def chosen_evidence() -> Column:
 
 def ground_relations(df: DataFrame) -> DataFrame:
     """Keep relations that their witness supports; a null witness keeps everything."""
-    return with_support(df).filter(is_grounded()).drop("_cited", "_unit")
+    return keep_where(with_support(df), is_grounded()).drop("_cited", "_unit")
 
 
 def select_evidence(df: DataFrame) -> DataFrame:
@@ -388,8 +389,8 @@ def sanitize_relations(
     """Kept relations and dropped ones (with ``reason``)."""
     judged = judge_relations(df, skills, corpus_rules)
     return (
-        judged.filter(F.col("reason").isNull()).drop("reason"),
-        judged.filter(F.col("reason").isNotNull()),
+        keep_where(judged, F.col("reason").isNull()).drop("reason"),
+        keep_where(judged, F.col("reason").isNotNull()),
     )
 
 
@@ -418,7 +419,8 @@ def with_keys(df: DataFrame) -> DataFrame:
     keyed = df.withColumns(
         {f"_{f}": compact(F.col(f)) for f in ("head", "relation", "tail", "skill")}
     )
-    return keyed.filter("_head != '' AND _relation != '' AND _tail != ''")
+    named = (F.col("_head") != "") & (F.col("_relation") != "") & (F.col("_tail") != "")
+    return keep_where(keyed, named)
 
 
 def dedup_exact(
@@ -478,4 +480,4 @@ def score_confidence(df: DataFrame) -> DataFrame:
 def split_by_confidence(df: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     scored = df if "confidence" in df.columns else score_confidence(df)
     high = F.col("confidence") >= threshold
-    return scored.filter(high), scored.filter(~high)
+    return keep_where(scored, high), keep_where(scored, ~high)

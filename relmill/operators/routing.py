@@ -372,9 +372,8 @@ def document_skill_total(routed_chunks: DataFrame, keys: tuple[str, ...] = ("doc
         F.posexplode(F.concat("document_skills", "selected_skills")).alias("p", "skill"),
         F.size("document_skills").alias("n"),
     )
-    position = F.when(F.col("p") < F.col("n"), F.struct(F.lit(-1).cast("long"), F.col("p"))).otherwise(
-        F.struct(F.col("c"), F.col("p"))
-    )
+    own_route = F.col("p") < F.col("n")
+    position = F.struct(F.when(own_route, F.lit(-1)).otherwise(F.col("c")).alias("c"), "p")
     firsts = rows.groupBy(*keys, "skill").agg(F.min(position).alias("at"))
     return firsts.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "skill"))), lambda s: s["skill"]).alias(
