@@ -13,13 +13,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import spread
 from relmill.functions.text import WS, WS_CHARS, let, non_empty, strip
 from relmill.operators.skills import Example, Skill
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 # ---- plumbing ---------------------------------------------------------------------------
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -59,7 +64,14 @@ def sql_estimate(x: str) -> str:
 
 
 def with_ctes(*parts: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
+    """WITH clause; tables that do not refer to themselves are computed once."""
+
+    def pinned(part: str) -> str:
+        name = part.split(" AS (", 1)[0]
+        recursive = f" {name} " in part.split(" AS (", 1)[1]
+        return part if recursive else part.replace(" AS (", " AS MATERIALIZED (", 1)
+
+    return "WITH RECURSIVE " + ",\n".join(map(pinned, parts)) + "\n"
 
 
 # ---- lines ------------------------------------------------------------------------------

@@ -17,3 +17,18 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """
     gate = F.explode(F.when(condition, F.array(F.lit(True))))
     return df.select("*", gate.alias("_keep")).drop("_keep")
+
+
+TASK_BYTES = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input.
+
+    A small file may consist of one row group, which is one task however many cores wait.
+    Below ``TASK_BYTES`` per core the rows are dealt out once; larger inputs already come
+    in enough splits and pass through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * TASK_BYTES else df

@@ -82,9 +82,16 @@ def with_matches(
             F.flatten(F.transform("sections", lambda s: F.array(s["page_start"], s["page_end"])))
         ).alias("_pages"),
         searchable(F.col("sections")).alias("_sections"),
-        F.posexplode(relations).alias("relation_ord", "_r"),
+        F.array_compact(relations).alias("_relations"),
+    )
+    rows = prepared.select(
+        *keep,
+        "section_ids",
+        "block_ids",
+        "_pages",
+        "_sections",
+        F.posexplode("_relations").alias("relation_ord", "_r"),
     )
-    rows = prepared.filter(F.col("_r").isNotNull())
     return rows.select(
         *keep,
         "relation_ord",

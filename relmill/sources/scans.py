@@ -161,7 +161,7 @@ def get_skill(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def scan_skills(spark: SparkSession, path: str) -> DataFrame:
     """Registry in file-name order; ``skill_ord`` breaks every later tie."""
-    order = Window.orderBy("_meta.filename", "_meta.path")
+    order = Window.orderBy("_meta.path")
     return (
         list_skills(spark, path)
         .withColumn("skill_ord", F.row_number().over(order) - 1)

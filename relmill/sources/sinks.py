@@ -41,7 +41,8 @@ def write_results(
     parts = result_artifacts(results, paragraphs, text)
     artefacts = {
         "result_json": parts.select("task_id", F.col("result_json").alias("value")),
-        "document_text_md": parts.select("task_id", F.col("document_text").alias("value")),
+        # the writer ends the text with its own line break
+        "document_text_md": parts.select("task_id", strip(F.col("document_text")).alias("value")),
         "ocr_paragraphs_json": parts.select("task_id", F.col("ocr_paragraphs").alias("value")),
     }
     paths = {}
