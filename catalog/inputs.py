@@ -7,15 +7,13 @@ list of CTEs that the oracle strings are assembled from.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmill.functions.rows import spread
 from relmill.functions.text import WS, WS_CHARS, let, non_empty, strip
 from relmill.operators.skills import Example, Skill
+from relmill.plans.store import work_dir  # noqa: F401
 
 
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -27,12 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder; local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/relmill-{uuid.uuid4().hex}"
-
-
 def q(text: str) -> str:
     """SQL string literal."""
     return "'" + text.replace("'", "''") + "'"
