@@ -631,9 +631,9 @@ def list_skills(spark, sf_dir):
     return skills.select("name", "description", F.array_join("keywords", ",").alias("keywords"))
 
 
-@query("s7_get_skill", with_ctes(NATION_SKILLS) + "SELECT name, description FROM nat WHERE name = 'FRANCE'")
+@query("s7_get_skill", with_ctes(NATION_SKILLS) + "SELECT name, description FROM nat WHERE name = 'NATION_3'")
 def get_skill(spark, sf_dir):
-    return S.get_skill(spark, skill_folder(spark, sf_dir), "FRANCE").select("name", "description")
+    return S.get_skill(spark, skill_folder(spark, sf_dir), "NATION_3").select("name", "description")
 
 
 def fresh_routes(spark, sf_dir, label: str, condition: str):

@@ -16,6 +16,7 @@ from catalog.inputs import (
     with_ctes,
 )
 from catalog.registry import query
+from relmill.functions.rows import posexplode
 from relmill.operators import coref as C
 from relmill.operators import fuzzy as Z
 from relmill.operators import relations as M
@@ -404,7 +405,7 @@ PARSED = f"""items AS (SELECT doc_id, relation_ord, regexp_replace(head, '[^A-Za
 @query("p7_parse_responses", None)
 def parse_responses(spark, sf_dir):
     parsed, _ = P.split_parsed(P.parse_responses(reply_docs(spark, sf_dir)))
-    rows = parsed.select("doc_id", "parse_mode", F.posexplode("relations").alias("relation_ord", "r"))
+    rows = parsed.select("doc_id", "parse_mode", posexplode("relations").alias("relation_ord", "r"))
     return rows.select("doc_id", "parse_mode", "relation_ord", "r.head", "r.relation", "r.tail")
 
 

@@ -17,6 +17,7 @@ from catalog.inputs import (
 )
 from catalog.registry import query
 from catalog.text_queries import _greedy, sql_sentences
+from relmill.functions.rows import posexplode
 from relmill.functions.text import doc_hash
 from relmill.operators import prompts as P
 from relmill.operators import routing as G
@@ -34,7 +35,7 @@ def scored(spark, sf_dir, keep_text: bool = False):
 
 
 def selected_rows(df, column: str = "selected_skills"):
-    rows = df.select("doc_id", F.posexplode(column).alias("pos", "skill"))
+    rows = df.select("doc_id", posexplode(column).alias("pos", "skill"))
     return rows.select("doc_id", (F.col("pos") + 1).alias("rank"), "skill")
 
 

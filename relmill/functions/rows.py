@@ -19,6 +19,24 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.select("*", gate.alias("_keep")).drop("_keep")
 
 
+def whole(array: Column | str) -> Column:
+    """An array as a generator argument.
+
+    For a bare column the optimizer adds a "not empty" filter below the generator and
+    pushes it down to the scan together with a copy of everything that computes the array,
+    which would then run twice. It adds none for an expression.
+    """
+    return F.slice(F.col(array) if isinstance(array, str) else array, 1, 2**31 - 1)
+
+
+def posexplode(array: Column | str) -> Column:
+    return F.posexplode(whole(array))
+
+
+def inline(array: Column | str) -> Column:
+    return F.inline(whole(array))
+
+
 TASK_BYTES = 32 * 1024 * 1024
 
 

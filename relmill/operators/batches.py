@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmill.config import SplitConfig
+from relmill.functions.rows import posexplode
 from relmill.functions.text import (
     estimate_tokens,
     let,
@@ -341,7 +342,7 @@ def document_batch(df: DataFrame, mode: str, max_tokens: int, text: str = "text"
 def index_batches(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Explode to rows, dropping empty texts, with a dense 0-based index per document."""
     live = F.filter(F.col("batches"), lambda b: strip(b["text"]) != "")
-    rows = df.select(*keep, F.posexplode(live).alias("batch_index", "b"))
+    rows = df.select(*keep, posexplode(live).alias("batch_index", "b"))
     return rows.select(*keep, "batch_index", "b.*").withColumn(
         "estimated_tokens", estimate_tokens(F.col("text"))
     )

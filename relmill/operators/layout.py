@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import inline, posexplode
 from relmill.functions.text import is_blank, let, null_if_empty, runs, strip, text_of
 from relmill.operators.text import clean_images
 
@@ -249,7 +250,7 @@ def infer_block_pages(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     """Page of every block; blocks sharing a key all report the last one's page."""
     paged = df.withColumn("_p", paged_blocks(F.col("parsing_res_list")))
     mapped = paged.withColumn("_m", page_map(F.col("_p")))
-    rows = mapped.select(*keep, "_m", F.posexplode("_p").alias("block_ord", "_b"))
+    rows = mapped.select(*keep, "_m", posexplode("_p").alias("block_ord", "_b"))
     key = block_key(F.col("_b.block"), F.lit(0))
     return rows.select(
         *keep, "block_ord", key.alias("block_key"), F.try_element_at(F.col("_m"), key).alias("page")
@@ -257,7 +258,7 @@ def infer_block_pages(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
 
 def filter_text_blocks(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    rows = df.select(*keep, F.posexplode("parsing_res_list").alias("block_ord", "b"))
+    rows = df.select(*keep, posexplode("parsing_res_list").alias("block_ord", "b"))
     return rows.filter(F.col("b").isNotNull() & is_text_block(F.col("b"))).select(
         *keep, "block_ord", "b.*"
     )
@@ -265,12 +266,12 @@ def filter_text_blocks(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
 
 def pages_from_blocks(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     pages = block_pages(F.col("parsing_res_list"), F.col("page_count"))
-    return df.select(*keep, F.inline(pages))
+    return df.select(*keep, inline(pages))
 
 
 def paragraphs_from_blocks(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = df.select(
-        *keep, F.posexplode(block_paragraphs(F.col("parsing_res_list"))).alias("paragraph_ord", "p")
+        *keep, posexplode(block_paragraphs(F.col("parsing_res_list"))).alias("paragraph_ord", "p")
     )
     return rows.select(*keep, "paragraph_ord", "p.*")
 

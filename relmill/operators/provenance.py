@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import inline, posexplode
 from relmill.functions.text import compact, contains, key_part, let, strip, unique_values
 
 MATCH_TYPE = (
@@ -90,7 +91,7 @@ def with_matches(
         "block_ids",
         "_pages",
         "_sections",
-        F.posexplode("_relations").alias("relation_ord", "_r"),
+        posexplode("_relations").alias("relation_ord", "_r"),
     )
     return rows.select(
         *keep,
@@ -110,7 +111,7 @@ def match_paragraphs(
 ) -> DataFrame:
     """Flat relation ↔ paragraph matches."""
     rows = with_matches(batches, relations, keep)
-    return rows.select(*keep, "relation_ord", F.posexplode("matches").alias("match_ord", "m")).select(
+    return rows.select(*keep, "relation_ord", posexplode("matches").alias("match_ord", "m")).select(
         *keep, "relation_ord", "match_ord", "m.*"
     )
 
@@ -181,7 +182,7 @@ def dedup_document(
     tagged = F.concat(F.array(own), *[tag(m, name) for m, name in enumerate(SOURCES)])
     values = [f"v{m}" for m in range(len(SOURCES))]
     spread = keyed.select(
-        *unit, *keys, F.struct(*order).alias("at"), F.struct(*fields).alias("row"), F.inline(tagged)
+        *unit, *keys, F.struct(*order).alias("at"), F.struct(*fields).alias("row"), inline(tagged)
     ).withColumn("row", F.when(F.col("kind") == -1, F.col("row")))
     positions = spread.groupBy(*unit, *keys, "kind", *values).agg(
         F.min(F.struct("at", "i")).alias("pos"), F.min_by("row", "at").alias("row")

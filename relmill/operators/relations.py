@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relmill.functions.rows import keep_where
+from relmill.functions.rows import keep_where, posexplode
 from relmill.functions.text import (
     compact,
     contains,
@@ -125,7 +125,7 @@ def explode_relations(
     ord_name: str = "relation_ord",
 ) -> DataFrame:
     """One row per relation object, its fields as plain strings."""
-    rows = units.select(*keep, F.posexplode(relations).alias(ord_name, "_r")).filter(
+    rows = units.select(*keep, posexplode(relations).alias(ord_name, "_r")).filter(
         F.col("_r").isNotNull()
     )
     return rows.select(*keep, ord_name, *[text_of(F.col(f"_r.{f}")).alias(f) for f in FIELDS])
@@ -409,7 +409,7 @@ def expand_compound_tails(
         lambda u: F.when(F.size(u) >= 2, u).otherwise(F.array(F.col("tail"))),
     )
     others = [c for c in df.columns if c != "tail"]
-    rows = df.select(*others, F.posexplode(tails).alias(part_name, "tail"))
+    rows = df.select(*others, posexplode(tails).alias(part_name, "tail"))
     return rows.select(*df.columns, part_name)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import keep_where, posexplode
 from relmill.functions.text import is_blank, let, null_if_empty, strip, text_of
 
 RELATION_TYPE = "struct<head:string,relation:string,tail:string,evidence:string,skill:string>"
@@ -98,7 +99,7 @@ def parse_responses(df: DataFrame, reply: str = "reply") -> DataFrame:
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected = F.col("parse_mode") == "rejected"
-    return parsed.filter(~rejected), parsed.filter(rejected)
+    return keep_where(parsed, ~rejected), keep_where(parsed, rejected)
 
 
 def parse_triples(
@@ -121,7 +122,7 @@ def parse_triples(
         return F.coalesce(objects, F.array().cast(TRIPLE_LIST))
 
     rows = df.select(
-        *keep, F.posexplode(let(text_of(F.col(raw)), triples)).alias("triple_ord", "t")
+        *keep, posexplode(let(text_of(F.col(raw)), triples)).alias("triple_ord", "t")
     )
     return rows.select(*keep, "triple_ord", "t.*")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import posexplode
+
 # ---- fixed values -------------------------------------------------------------------------
 FIELD_ORDER = ("head", "relation", "tail", "evidence", "skill")
 TIMINGS = (
@@ -39,7 +41,7 @@ def ordered_distinct(
 ) -> DataFrame:
     """Distinct array values per unit in first-seen order, reduced before collecting."""
     rows = df.select(
-        *unit, F.struct(*order).alias("at"), F.posexplode(array).alias("i", "v")
+        *unit, F.struct(*order).alias("at"), posexplode(array).alias("i", "v")
     ).filter(F.col("v").isNotNull())
     firsts = rows.groupBy(*unit, "v").agg(F.min(F.struct("at", "i")).alias("pos"))
     collected = F.array_sort(F.collect_list(F.struct("pos", "v")))

@@ -14,9 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import inline, posexplode
 from relmill.functions.text import doc_hash, let, occurrences, strip, unique_values
 from relmill.operators.responses import clean_reply
 from relmill.operators.skills import Skill
+from relmill.plans.store import stored
 
 # ---- fixed values: thresholds, texts ------------------------------------------------------
 PRIMARY_MIN = 1.0
@@ -116,7 +118,7 @@ def keyword_counts(df: DataFrame, skills: Sequence[Skill], text: str = "text") -
 
 
 def score_rows(df: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return df.select(*keep, F.inline("scores")).withColumnRenamed("ord", "skill_ord")
+    return df.select(*keep, inline("scores")).withColumnRenamed("ord", "skill_ord")
 
 
 # ---- selection ----------------------------------------------------------------------------
@@ -335,28 +337,38 @@ def route_chunks(
     model_routes: DataFrame | None = None,
     text: str = "chunk_text",
 ) -> DataFrame:
-    """Route chunk rows ``(doc_id, chunk_index, chunk_text, document_skills, document_cache_hit)``.
+    """Route chunk rows with ``document_skills`` and ``document_cache_hit``.
 
-    Only drifting chunks are looked up again; the others reuse the document route.
+    Only drifting chunks are looked up again; the others reuse the document route. Without
+    lookup tables this is one projection over the chunk rows. With them the scored rows,
+    stripped of their text, are written once and only the drifting ones are joined.
     """
     scored = chunks.withColumn("scores", score_array(F.col(text), skills)).withColumn(
         "doc_hash", doc_hash(F.col(text))
     )
-    judged = needs_chunk_reroute(scored, len(skills)).drop(text)
-    moved = route_documents(judged.filter("reroute"), skills, cache, model_routes)
-    moved = moved.withColumn("routing_mode", F.lit(MODE_REROUTED))
-    kept = (
-        judged.filter("not reroute")
-        .withColumn("selected_skills", F.col("document_skills"))
-        .withColumn("router_reason", F.lit(REASON_REUSED))
-        .withColumn("router_mode", F.lit(MODE_REUSED))
-        .withColumn("cache_hit", F.col("document_cache_hit"))
-        .withColumn("routing_mode", F.lit(MODE_REUSED))
-    )
-    routed = moved.unionByName(kept)
-    return routed.withColumnRenamed("selected_skills", "router_selected_skills").withColumn(
-        "selected_skills",
-        F.slice(unique_values(F.col("router_selected_skills"), F.col("document_skills")), 1, MAX_SKILLS),
+    judged = needs_chunk_reroute(scored, len(skills))
+    reused = {
+        "selected_skills": F.col("document_skills"),
+        "router_reason": F.lit(REASON_REUSED),
+        "router_mode": F.lit(MODE_REUSED),
+        "cache_hit": F.col("document_cache_hit"),
+    }
+    if cache is None and model_routes is None:
+        routed = route_documents(judged, skills)
+        routed = routed.withColumns(
+            {c: F.when(F.col("reroute"), F.col(c)).otherwise(v) for c, v in reused.items()}
+        )
+    else:
+        narrow = stored(judged.drop(text))
+        moved = route_documents(narrow.filter("reroute"), skills, cache, model_routes)
+        routed = moved.unionByName(narrow.filter("not reroute").withColumns(reused))
+    return routed.withColumnRenamed("selected_skills", "router_selected_skills").withColumns(
+        {
+            "selected_skills": F.slice(
+                unique_values(F.col("router_selected_skills"), F.col("document_skills")), 1, MAX_SKILLS
+            ),
+            "routing_mode": F.when(F.col("reroute"), MODE_REROUTED).otherwise(MODE_REUSED),
+        }
     )
 
 
@@ -369,7 +381,7 @@ def document_skill_total(routed_chunks: DataFrame, keys: tuple[str, ...] = ("doc
     rows = routed_chunks.select(
         *keys,
         F.col("chunk_index").cast("long").alias("c"),
-        F.posexplode(F.concat("document_skills", "selected_skills")).alias("p", "skill"),
+        posexplode(F.concat("document_skills", "selected_skills")).alias("p", "skill"),
         F.size("document_skills").alias("n"),
     )
     own_route = F.col("p") < F.col("n")

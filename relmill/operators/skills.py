@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import posexplode
 from relmill.functions.text import let, strip, text_of
 
 # ---- fixed values -----------------------------------------------------------------------
@@ -162,7 +163,7 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def fewshot_relations(df: DataFrame, keep: tuple[str, ...] = ("skill", "example_ord")) -> DataFrame:
     """One row per relation of each example (``json`` column)."""
-    rows = df.select(*keep, F.posexplode(relations_of(F.col("json"))).alias("relation_ord", "r"))
+    rows = df.select(*keep, posexplode(relations_of(F.col("json"))).alias("relation_ord", "r"))
     return rows.select(*keep, "relation_ord", "r.*")
 
 

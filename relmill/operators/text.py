@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import posexplode
 from relmill.functions.text import (
     EDGE_PUNCT,
     SENTINEL,
@@ -51,7 +52,7 @@ def explode_pieces(
     df: DataFrame, pieces: Column, ord_name: str, value_name: str, keep: tuple[str, ...]
 ) -> DataFrame:
     """One row per array element with its 0-based position."""
-    return df.select(*keep, F.posexplode(pieces).alias(ord_name, value_name))
+    return df.select(*keep, posexplode(pieces).alias(ord_name, value_name))
 
 
 # ---- expressions -------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from relmill.functions.rows import inline
 from relmill.functions.text import null_if_empty, safe_filename
 from relmill.operators.layout import LAYOUT_SCHEMA, layout_page_array
 from relmill.operators.routing import ROUTE_TYPE
@@ -189,7 +190,7 @@ def read_layouts(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 
 def layout_page_rows(layouts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    return layouts.select(*keep, F.inline(layout_page_array()))
+    return layouts.select(*keep, inline(layout_page_array()))
 
 
 def scan_layout_results(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
