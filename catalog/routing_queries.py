@@ -101,7 +101,16 @@ def needs_model_route(spark, sf_dir):
     return G.needs_model_route(scored(spark, sf_dir)).select("doc_id", "needs_model")
 
 
-@query("g7_route_reason")
+LISTED = """string_agg(skill || '=' || format('{:g}', score), '，' ORDER BY skill_ord)"""
+
+
+@query(
+    "g7_route_reason",
+    with_ctes(*SCORES, RANKED, SELECTED)
+    + f"""SELECT doc_id, CASE WHEN max(top) < 1 THEN '规则路由：无明显关键词信号，为保证召回选择 ' ELSE '规则路由：根据关键词加权分数选择 ' END
+      || any_value(names) || '。加权分数：' || {LISTED} || '。' AS router_reason FROM ranked JOIN (SELECT doc_id,
+        string_agg(skill, '、' ORDER BY pos) AS names FROM picked GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""",
+)
 def route_reason(spark, sf_dir):
     return G.route_reason(G.select_skills(scored(spark, sf_dir))).select("doc_id", "router_reason")
 
@@ -379,21 +388,26 @@ def _examples_sql() -> str:
 TERM_SQL = "'[\\x{4E00}-\\x{9FFF}]{2,}|[A-Za-z0-9_+\\-]{2,}'"
 
 
+FEWSHOT_RANKS = (
+    *SCORES, RANKED, SELECTED, _examples_sql(),
+    """cand AS (SELECT d.doc_id, d.text, e.* FROM documents d JOIN picked p USING (doc_id)
+      JOIN examples e ON e.skill = p.skill)""",
+    """hits AS (SELECT c.doc_id, c.skill, c.example_ord, sum(
+        (length(c.text) - length(replace(c.text, l.keyword, ''))) // length(l.keyword)
+        * (1 + CASE WHEN contains(c.blob, l.keyword) THEN 3 ELSE 0 END)) AS h
+      FROM cand c JOIN lex l ON l.skill = c.skill GROUP BY ALL)""",
+    f"""graded AS (SELECT c.doc_id, c.skill, c.example_ord, c.level, h + len(list_intersect(
+        list_distinct(regexp_extract_all(text, {TERM_SQL})), list_distinct(regexp_extract_all(blob, {TERM_SQL})))) AS score
+      FROM cand c JOIN hits USING (doc_id, skill, example_ord))""",
+    """placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, level, example_ord,
+      skill DESC) AS rank FROM graded)""",
+)
+
+
 @query(
     "p1_rank_fewshot",
     with_ctes(
-        *SCORES, RANKED, SELECTED, _examples_sql(),
-        """cand AS (SELECT d.doc_id, d.text, e.* FROM documents d JOIN picked p USING (doc_id)
-          JOIN examples e ON e.skill = p.skill)""",
-        """hits AS (SELECT c.doc_id, c.skill, c.example_ord, sum(
-            (length(c.text) - length(replace(c.text, l.keyword, ''))) // length(l.keyword)
-            * (1 + CASE WHEN contains(c.blob, l.keyword) THEN 3 ELSE 0 END)) AS h
-          FROM cand c JOIN lex l ON l.skill = c.skill GROUP BY ALL)""",
-        f"""graded AS (SELECT c.doc_id, c.skill, c.example_ord, c.level, h + len(list_intersect(
-            list_distinct(regexp_extract_all(text, {TERM_SQL})), list_distinct(regexp_extract_all(blob, {TERM_SQL})))) AS score
-          FROM cand c JOIN hits USING (doc_id, skill, example_ord))""",
-        """placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, level, example_ord,
-          skill DESC) AS rank FROM graded)""",
+        *FEWSHOT_RANKS
     )
     + """SELECT doc_id, CAST(rank AS INTEGER) AS rank, skill, CAST(example_ord AS INTEGER) AS example_ord,
       CAST(score AS INTEGER) AS score FROM placed WHERE (score > 0 AND rank <= 2) OR rank = 1""",
@@ -427,7 +441,33 @@ def extraction_rules(spark, sf_dir):
     return P.extraction_rules(docs, SKILLS, default_rules=DEFAULT_RULES).select("doc_id", "rules")
 
 
-@query("p3_extraction_prompts")
+def _skill_lines_sql() -> str:
+    rows = [f"({q(s.name)}, {q(P._profile(s))})" for s in SKILLS]
+    shots = [
+        f"({q(s.name)}, {i}, {q('### ' + s.name + chr(10) + ('文档片段：' if ex.is_document_level else '文本片段：') + ex.text + chr(10) + '输出示例：' + ex.json)})"
+        for s in SKILLS
+        for i, ex in enumerate(s.fewshot)
+    ]
+    return (
+        f"profiles AS (SELECT * FROM (VALUES {', '.join(rows)}) t(skill, line)),\n"
+        f"shots AS (SELECT * FROM (VALUES {', '.join(shots)}) t(skill, example_ord, shown))"
+    )
+
+
+@query(
+    "p3_extraction_prompts",
+    with_ctes(
+        *FEWSHOT_RANKS, _rules_sql(), RULES_TEXT, _skill_lines_sql(),
+        """heads AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS head, string_agg(skill, ', ' ORDER BY pos) AS names
+          FROM picked JOIN profiles USING (skill) GROUP BY doc_id)""",
+        """shown AS (SELECT doc_id, string_agg(shown, chr(10) ORDER BY rank) AS examples FROM placed JOIN shots USING (skill, example_ord)
+          WHERE (score > 0 AND rank <= 2) OR rank = 1 GROUP BY doc_id)""",
+    )
+    + f"""SELECT doc_id, {q(P.PromptTexts().extraction)} || chr(10) || chr(10) || 'skills：' || chr(10) || head || chr(10) || chr(10)
+      || '示例：' || chr(10) || examples || chr(10) || chr(10) || {q(P.PromptTexts().allowed)} || names || chr(10) || rules
+      || chr(10) || chr(10) || '文档：' || chr(10) || text || chr(10) AS prompt
+      FROM documents JOIN heads USING (doc_id) JOIN shown USING (doc_id) JOIN rules_text USING (doc_id)""",
+)
 def extraction_prompts(spark, sf_dir):
     docs = G.select_skills(scored(spark, sf_dir, keep_text=True))
     return P.extraction_prompts(docs, SKILLS, "text", default_rules=DEFAULT_RULES).select("doc_id", "prompt")

@@ -100,15 +100,28 @@ CHUNKS = f"""SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index,
   {sql_strip("string_agg(unit, ' ' ORDER BY u)")} AS chunk_text FROM packed GROUP BY doc_id, chunk"""
 
 
+def sql_clean_images(x: str) -> str:
+    steps = (
+        ("(?is)<img\\b[^>]*>", "''"),
+        ("!\\[[^\\]\\n]*\\]\\(\\s*(<[^>\\n]*>|[^)\\n]*)\\s*\\)", "''"),
+        ("!\\[[^\\]\\n]*\\]\\[[^\\]\\n]*\\]", "''"),
+        (
+            "(?im)^[ \\t]*\\[[^\\]\\n]+\\]:[ \\t]*(data:image/[^ \\t\\n]+|(\\.{0,2}/)?(images?|figures?|assets?)/\\S+|attachment:\\S+).*$",
+            "''",
+        ),
+        ("data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=\\r\\n]+", "''"),
+        ("[ \\t]+\\n", "chr(10)"),
+        ("[ \\t]{2,}", "' '"),
+        ("\\n{3,}", "chr(10) || chr(10)"),
+    )
+    for pattern, replacement in steps:
+        x = f"regexp_replace({x}, {q(pattern)}, {replacement}, 'g')"
+    return sql_strip(x)
+
+
 @query(
     "t1_strip_image_markup",
-    f"""SELECT page_id, {sql_strip('''regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-      regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
-      '(?is)<img\\b[^>]*>', '', 'g'), '!\\[[^\\]\\n]*\\]\\(\\s*(<[^>\\n]*>|[^)\\n]*)\\s*\\)', '', 'g'),
-      '!\\[[^\\]\\n]*\\]\\[[^\\]\\n]*\\]', '', 'g'),
-      '(?im)^[ \\t]*\\[[^\\]\\n]+\\]:[ \\t]*(data:image/[^ \\t\\n]+|(\\.{0,2}/)?(images?|figures?|assets?)/\\S+|attachment:\\S+).*$', '', 'g'),
-      'data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=\\r\\n]+', '', 'g'),
-      '[ \\t]+\\n', chr(10), 'g'), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')''')} AS text
+    f"""SELECT page_id, {sql_clean_images('t')} AS text
     FROM (SELECT page_id, html || chr(10) || chr(10) || '![x](' || url || ')' || chr(10) || chr(10)
       || '<IMG src="' || url || '"' || chr(10) || '>  end' || chr(10) || '![a][b]  ' || chr(10)
       || '[b]: ./images/' || page_id || '.png "t"' || chr(10) || 'data:image/png;base64,AA+/=' || chr(10)

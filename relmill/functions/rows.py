@@ -38,6 +38,7 @@ def inline(array: Column | str) -> Column:
 
 
 TASK_BYTES = 32 * 1024 * 1024
+TASKS_PER_CORE = 4  # documents differ in length by orders of magnitude
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -49,4 +50,4 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(size)) < cores * TASK_BYTES else df
+    return df.repartition(cores * TASKS_PER_CORE) if int(str(size)) < cores * TASK_BYTES else df

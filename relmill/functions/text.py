@@ -25,7 +25,7 @@ WS_CHARS = (
 EDGE_PUNCT = " ，。；：,.;"
 CJK_CHAR = r"[\x{4E00}-\x{9FFF}]"
 LATIN_WORD = r"[A-Za-z0-9_+\-]+"
-TOKEN_PUNCT = r"[，。！？；：,.!?;:（）()【】\[\]“”\"'、\-]"
+TOKEN_PUNCT = "，。！？；：,.!?;:（）()【】[]“”\"'、-"
 SENTINEL = "\uffff"  # a noncharacter: never part of interchanged text
 # -------------------------------------------------------------------------------------
 
@@ -81,11 +81,13 @@ def text_contains(haystack: Column, needle: Column) -> Column:
 
 def approx_tokens(c: Column) -> Column:
     """CJK characters + latin words + a quarter of the punctuation (at least one)."""
-    punct = F.regexp_count(c, F.lit(TOKEN_PUNCT))
+    size = F.char_length(c)
+    cjk = size - F.char_length(F.regexp_replace(c, CJK_CHAR + "+", ""))
+    punct = size - F.char_length(F.translate(c, TOKEN_PUNCT, ""))
+    # every word shrinks to one marker, then only the markers are left to count
+    words = F.regexp_replace(F.regexp_replace(c, LATIN_WORD, SENTINEL), f"[^{SENTINEL}]+", "")
     return (
-        F.regexp_count(c, F.lit(CJK_CHAR))
-        + F.regexp_count(c, F.lit(LATIN_WORD))
-        + F.greatest(F.lit(1), F.floor(punct / 4).cast("int"))
+        cjk + F.char_length(words) + F.greatest(F.lit(1), F.floor(punct / 4).cast("int"))
     ).cast("int")
 
 

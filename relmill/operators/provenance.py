@@ -154,8 +154,11 @@ def dedup_document(
     repeated millions of times collects no more than its distinct sources.
     """
     parts = ("head", "relation", "tail", "evidence")
-    keys = [f"k_{c}" for c in parts]
-    keyed = df.withColumns({f"k_{c}": key_part(F.col(c)) for c in parts})
+    # the parts hold no whitespace, so a line break separates them; the digest keeps the
+    # key short in both shuffles
+    digest = F.unhex(F.sha2(F.concat_ws("\n", *[key_part(F.col(c)) for c in parts]), 256))
+    keys = ["_key"]
+    keyed = df.withColumn("_key", digest)
     types = [df.schema[name].dataType for name in SOURCES]
     fields = [c for c in df.columns if c not in (*unit, *SOURCES)]
 
