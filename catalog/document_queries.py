@@ -664,8 +664,8 @@ def fresh_routes(spark, sf_dir, label: str, condition: str):
     return docs.groupBy(doc_hash(F.col("text")).alias("doc_hash")).agg(F.min_by(route, "doc_id").alias("route"))
 
 
-ROUTE_LOG = """routes AS (SELECT sha256(text) AS doc_hash, arg_min(lang, doc_id) FILTER (doc_id % 2 = 0) AS a,
-  arg_min(lang, doc_id) FILTER (doc_id % 3 = 0) AS b FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY text)"""
+ROUTE_LOG = """routes AS (SELECT sha256(text) AS doc_hash, arg_min(lang, doc_id) FILTER (lang <> 'fr') AS a,
+  arg_min(lang, doc_id) FILTER (n_chars > 1000) AS b FROM documents WHERE lang <> 'fr' OR n_chars > 1000 GROUP BY text)"""
 LATEST_ROUTES = """SELECT doc_hash, coalesce(b, a) AS skills, CASE WHEN b IS NULL THEN 'first' ELSE 'second' END AS reason FROM routes"""
 
 
@@ -678,8 +678,8 @@ def _flat_routes(df):
 @query("s8_read_route_cache", with_ctes(ROUTE_LOG) + LATEST_ROUTES)
 def read_route_cache(spark, sf_dir):
     path = work_dir(spark)
-    K.write_route_cache(fresh_routes(spark, sf_dir, "first", "doc_id % 2 = 0"), path)
-    K.write_route_cache(fresh_routes(spark, sf_dir, "second", "doc_id % 3 = 0"), path)
+    K.write_route_cache(fresh_routes(spark, sf_dir, "first", "lang != 'fr'"), path)
+    K.write_route_cache(fresh_routes(spark, sf_dir, "second", "n_chars > 1000"), path)
     return _flat_routes(S.read_route_cache(spark, path))
 
 
@@ -731,17 +731,17 @@ def write_run_report(spark, sf_dir):
 
 @query("k3_write_route_cache", with_ctes(ROUTE_LOG) + LATEST_ROUTES)
 def merge_routes(spark, sf_dir):
-    old = fresh_routes(spark, sf_dir, "first", "doc_id % 2 = 0").withColumn("written_at", F.lit(1))
-    new = fresh_routes(spark, sf_dir, "second", "doc_id % 3 = 0").withColumn("written_at", F.lit(2))
+    old = fresh_routes(spark, sf_dir, "first", "lang != 'fr'").withColumn("written_at", F.lit(1))
+    new = fresh_routes(spark, sf_dir, "second", "n_chars > 1000").withColumn("written_at", F.lit(2))
     return _flat_routes(K.merge_routes(old, new))
 
 
 def _upserted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     name = lambda offset=0: F.concat(F.lit("s"), F.col("doc_id") + offset)
-    registry = docs.filter("doc_id % 3 != 0").select(name().alias("name"), F.col("lang").alias("description"))
+    registry = docs.filter("lang != 'de'").select(name().alias("name"), F.col("lang").alias("description"))
     d = F.col("doc_id")
-    changes = docs.filter("doc_id % 4 = 1").select(
+    changes = docs.filter("source != 'src0'").select(
         F.when(d % 5 == 0, F.concat(F.lit("new"), d)).when(d % 5 == 1, name(4)).otherwise(name()).alias("name"),
         F.col("source").alias("description"),
         F.when(d % 2 + d % 5 == 3, "create").otherwise("update").alias("action"),
@@ -750,9 +750,9 @@ def _upserted(spark, sf_dir):
     return R.upsert_skills(registry, changes)
 
 
-UPSERTS = """reg AS (SELECT 's' || doc_id AS name, lang AS description FROM documents WHERE doc_id % 3 <> 0),
+UPSERTS = """reg AS (SELECT 's' || doc_id AS name, lang AS description FROM documents WHERE lang <> 'de'),
   chg AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'new' || doc_id WHEN doc_id % 5 = 1 THEN 's' || (doc_id + 4) ELSE 's' || doc_id END AS name,
-    source AS description, doc_id % 2 + doc_id % 5 = 3 AS creates, 's' || doc_id AS target FROM documents WHERE doc_id % 4 = 1),
+    source AS description, doc_id % 2 + doc_id % 5 = 3 AS creates, 's' || doc_id AS target FROM documents WHERE source <> 'src0'),
   judged AS (SELECT *, CASE WHEN creates THEN CASE WHEN name IN (SELECT name FROM reg) THEN 'conflict' END
     WHEN target NOT IN (SELECT name FROM reg) THEN 'not found'
     WHEN target <> name AND name IN (SELECT name FROM reg) THEN 'conflict' END AS reason FROM chg)"""

@@ -115,11 +115,11 @@ def route_reason(spark, sf_dir):
     return G.route_reason(G.select_skills(scored(spark, sf_dir))).select("doc_id", "router_reason")
 
 
-# every third document has a router reply, one in seven of them unusable
-REPLY_SQL = """replies AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'no json'
+# Spanish documents got no router reply; one reply in seven is unusable
+REPLY_SQL = """replies AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 OR lang = 'es' THEN 'no json'
   ELSE '```json{"primary_skill":"' || ['german','bogus','web'][CAST(doc_id % 3 AS INT) + 1]
     || '","aux_skills":["french","' || lang || '","german","spanish","english"],"reason":"r'
-    || doc_id || '"}```' END AS reply FROM documents WHERE doc_id % 3 <> 2)"""
+    || doc_id || '"}```' END AS reply FROM documents)"""
 MODEL_SQL = """model AS (SELECT doc_id, text, reply, CASE WHEN reply = 'no json' THEN NULL ELSE list_slice(list_filter(
     list_distinct_ordered, lambda s: s IN ('english','french','german','spanish','web')), 1, 3) END AS names
   FROM (SELECT *, list_filter([['german','bogus','web'][CAST(doc_id % 3 AS INT) + 1], 'french', 'german',
@@ -128,13 +128,15 @@ MODEL_SQL = """model AS (SELECT doc_id, text, reply, CASE WHEN reply = 'no json'
 
 
 def router_replies(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 3 != 2")
+    docs = table(spark, sf_dir, "documents")
     first = F.get(F.array(F.lit("german"), F.lit("bogus"), F.lit("web")), (F.col("doc_id") % 3).cast("int"))
     reply = F.concat(
         F.lit('```json{"primary_skill":"'), first, F.lit('","aux_skills":["french","'), F.col("lang"),
         F.lit('","german","spanish","english"],"reason":"r'), F.col("doc_id"), F.lit('"}```'),
     )
-    return docs.select("doc_id", "text", F.when(F.col("doc_id") % 7 == 0, "no json").otherwise(reply).alias("reply"))
+    broken = F.when(F.col("lang") != "es", "no json")
+    unusable = (F.col("doc_id") % 7 == 0) | (F.col("lang") == "es")
+    return docs.select("doc_id", "text", F.when(unusable, broken).otherwise(reply).alias("reply"))
 
 
 @query(
@@ -152,9 +154,9 @@ def resolve_model_route(spark, sf_dir):
 
 
 def route_inputs(spark, sf_dir):
-    """Scored documents, a cache for every tenth text, replies per text hash."""
+    """Scored documents, a cache of the labelled texts, replies per text hash."""
     docs = table(spark, sf_dir, "documents").withColumn("doc_hash", doc_hash(F.col("text")))
-    cached = docs.filter("doc_id % 10 = 0").withColumn(
+    cached = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").withColumn(
         "route",
         F.struct(
             F.array(F.lit("web"), F.lit("gone"), F.lit("french")).alias("selected_skills"),
@@ -181,7 +183,7 @@ ROUTED = (
     NEEDS,
     REPLY_SQL,
     MODEL_SQL,
-    "cached AS (SELECT DISTINCT text FROM documents WHERE doc_id % 10 = 0)",
+    "cached AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))",
     "modelled AS (SELECT text, arg_min(coalesce(array_to_string(names, ','), ''), doc_id) AS names FROM model GROUP BY text)",
     """routed AS (SELECT d.doc_id, d.text, c.text IS NOT NULL AS cache_hit,
       CASE WHEN c.text IS NOT NULL THEN 'web,french'
@@ -358,19 +360,19 @@ def fewshot_relations(spark, sf_dir):
 
 @query(
     "r3_registry_changes",
-    """SELECT 'f' || doc_id || '.json' AS filename, CASE WHEN doc_id % 4 = 0 THEN 'added'
-      WHEN doc_id % 4 = 1 THEN 'removed' ELSE 'changed' END AS change FROM documents
-      WHERE doc_id % 4 < 2 OR n_chars % 3 = 0""",
+    """SELECT 'f' || doc_id || '.json' AS filename, CASE lang WHEN 'fr' THEN 'added'
+      WHEN 'de' THEN 'removed' ELSE 'changed' END AS change FROM documents
+      WHERE lang IN ('fr', 'de') OR n_chars % 3 = 0""",
 )
 def registry_changes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("f"), F.col("doc_id"), F.lit(".json")).alias("filename"),
-        F.lit(1).alias("modified"), F.col("n_chars").alias("size"), "doc_id",
+        F.lit(1).alias("modified"), F.col("n_chars").alias("size"), "lang",
     )
-    old = docs.filter("doc_id % 4 != 0").drop("doc_id")
-    new = docs.filter("doc_id % 4 != 1").withColumn(
+    old = docs.filter("lang != 'fr'").drop("lang")
+    new = docs.filter("lang != 'de'").withColumn(
         "modified", F.when(F.col("size") % 3 == 0, 2).otherwise(1)
-    ).drop("doc_id")
+    ).drop("lang")
     return R.registry_changes(old, new)
 
 
