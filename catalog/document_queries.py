@@ -13,7 +13,6 @@ from catalog.inputs import (
     STATUS,
     block_docs,
     lexicon_skills,
-    outline_docs,
     page_docs,
     q,
     relation_docs,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.inputs import (
-    LINES,
     PAGES,
     page_docs,
     q,

@@ -158,7 +158,7 @@ def repair_columns(
     work = work.withColumn("_known", contains(doc, now))
     known = F.col("_known")
     # a doubled ending that the text itself contains is settled as it is
-    settled = F.rlike(now, F.lit(r"(?s)(.{2,7})\1\z")) & known
+    settled = known & F.rlike(now, F.lit(r"(?s)(.{2,7})\1\z"))
     shorter = F.coalesce(
         *[
             F.when(
@@ -170,7 +170,10 @@ def repair_columns(
             for cut in range(1, 6)
         ]
     )
-    shorter = F.when((doc != "") & ~known, shorter)
+    # if even the shortest allowed prefix is not in the text, no longer one is
+    deepest = F.least(F.lit(5), F.floor(size / 2) - 1, size - 3).cast("int")
+    hopeful = (deepest >= 1) & contains(doc, now.substr(F.lit(1), size - deepest))
+    shorter = F.when(~known & hopeful, shorter)
     result = F.coalesce(shorter, now)
     if corpus_rules:
         result = F.coalesce(shorter, F.when(doc != "", _corpus_substitution(now, doc)), now)
@@ -213,52 +216,42 @@ def repair_entities(df: DataFrame, corpus_rules: bool = True) -> DataFrame:
 
 
 # ---- predicates and tails -----------------------------------------------------------------
-def predicate_of(relation: Column, tail: Column) -> Column:
-    def settle(r: Column) -> Column:
-        return (
-            F.when((r == "部署") & _any_of(tail, PLACE_TOKENS), "部署于")
-            .when((r == "负责") & (F.char_length(tail) <= SHORT_TASK_TAIL), "任务")
-            .otherwise(r)
-        )
-
-    return let(_mapped(strip(relation), PREDICATE_SYNONYMS), settle)
+# These steps are columns on columns rather than nested lambdas: a lambda takes its whole
+# projection out of code generation, and the rows here still carry their source text.
+def normalize_predicates(df: DataFrame) -> DataFrame:
+    """Synonyms first, then the two predicates that depend on the tail."""
+    r, tail = F.col("relation"), F.col("tail")
+    return df.withColumn("relation", _mapped(strip(r), PREDICATE_SYNONYMS)).withColumn(
+        "relation",
+        F.when((r == "部署") & _any_of(tail, PLACE_TOKENS), "部署于")
+        .when((r == "负责") & (F.char_length(tail) <= SHORT_TASK_TAIL), "任务")
+        .otherwise(r),
+    )
 
 
-def compressed_tail(tail: Column) -> Column:
-    def drop_verb(c: Column) -> Column:
-        rest = strip_edges(
-            F.regexp_extract(c, rf"(?d)^(?:{'|'.join(LEADING_VERBS)})(.+)$", 1)
-        )
-        return F.coalesce(null_if_empty(rest), c)
+def compress_tails(df: DataFrame) -> DataFrame:
+    """Condition clause off, the shortest clause of a long tail, leading verb off."""
+    c = F.col("_tail")
 
-    def drop_condition(c: Column) -> Column:
-        rests = [
-            null_if_empty(
-                F.when(F.rlike(c, F.lit(p)), strip_edges(F.regexp_replace(c, p, "")))
-            )
-            for p in CONDITION_LEADS
-        ]
-        return F.coalesce(*rests, c)
+    def behind(pattern: str) -> Column:
+        rest = F.when(F.rlike(c, F.lit(pattern)), strip_edges(F.regexp_replace(c, pattern, "")))
+        return null_if_empty(rest)
 
-    def shorten(c: Column) -> Column:
-        clause = shortest(non_empty(F.transform(F.split(c, "[；。]"), strip_edges)))
-        cut = F.when(
-            (F.char_length(c) > LONG_TAIL) & (F.char_length(clause) < F.char_length(c)), clause
+    clause = shortest(non_empty(F.transform(F.split(c, "[；。]"), strip_edges)))
+    shorter = F.when(
+        (F.char_length(c) > LONG_TAIL) & (F.char_length(clause) < F.char_length(c)), clause
+    )
+    verbs = rf"(?d)^(?:{'|'.join(LEADING_VERBS)})(.+)$"
+    fires = F.col("relation").isin(*COMPRESSED_PREDICATES)
+    return (
+        df.withColumn("_tail", F.when(fires, strip_edges(F.col("tail"))))
+        .withColumn("_tail", F.coalesce(*[behind(p) for p in CONDITION_LEADS], c))
+        .withColumn("_tail", F.coalesce(shorter, c))
+        .withColumn(
+            "tail",
+            F.coalesce(null_if_empty(strip_edges(F.regexp_extract(c, verbs, 1))), c, F.col("tail")),
         )
-        return let(F.coalesce(cut, c), drop_verb)
-
-    return let(strip_edges(tail), lambda c: let(drop_condition(c), shorten))
-
-
-def normalize_predicates(df: DataFrame) -> DataFrame:
-    return df.withColumn("relation", predicate_of(F.col("relation"), F.col("tail")))
-
-
-def compress_tails(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "tail",
-        F.when(F.col("relation").isin(*COMPRESSED_PREDICATES), compressed_tail(F.col("tail")))
-        .otherwise(F.col("tail")),
+        .drop("_tail")
     )
 
 
@@ -295,14 +288,18 @@ def chosen_evidence() -> Column:
     free = F.col("source").isNull()
     given = strip(F.col("evidence"))
     joined = strip(F.concat("head", "relation", "tail"))
-    options = F.array_compact(
-        F.array(
-            F.when((given != "") & (free | F.col("_cited")), given),
-            F.when(~free, F.col("_unit")),
-            F.when(free | contains(F.col("source_compact"), compact(joined)), joined),
-        )
+    options = [
+        F.when((given != "") & (free | F.col("_cited")), given),
+        F.when(~free, F.col("_unit")),
+        F.when((joined != "") & (free | contains(F.col("source_compact"), compact(joined))), joined),
+    ]
+    first, second, third = (F.coalesce(F.char_length(o), F.lit(2**31 - 1)) for o in options)
+    best = (
+        F.when((first <= second) & (first <= third), options[0])
+        .when(second <= third, options[1])
+        .otherwise(options[2])
     )
-    return F.coalesce(shortest(non_empty(options)), F.lit(""))
+    return F.coalesce(best, F.lit(""))
 
 
 def ground_relations(df: DataFrame) -> DataFrame:

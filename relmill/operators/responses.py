@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmill.functions.rows import keep_where, posexplode
-from relmill.functions.text import is_blank, let, null_if_empty, strip, text_of
+from relmill.functions.text import let, null_if_empty, strip, text_of
 
 RELATION_TYPE = "struct<head:string,relation:string,tail:string,evidence:string,skill:string>"
 RELATION_LIST = f"array<{RELATION_TYPE}>"

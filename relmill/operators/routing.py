@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmill.functions.rows import inline, posexplode
-from relmill.functions.text import doc_hash, let, occurrences, strip, unique_values
+from relmill.functions.text import doc_hash, let, occurrences, unique_values
 from relmill.operators.responses import clean_reply
 from relmill.operators.skills import Skill
 from relmill.plans.store import stored

@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from relmill.functions.rows import posexplode
 from relmill.functions.text import (
-    EDGE_PUNCT,
     SENTINEL,
     WS,
     approx_tokens,
     greedy_starts,
     let,
     non_empty,
-    null_if_empty,
     runs,
     split_stripped,
     strip,
