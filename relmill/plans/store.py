@@ -14,9 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; machine-local only where that is unset."""
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, a session in one process (``local[...]``) gets a temporary folder;
+    on a cluster each executor would write to its own disk, so the run stops instead.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/relmill-{uuid.uuid4().hex}"
 
 
