@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmill.plans.store import stored
 
-__all__ = ["BATCH_ROWS", "WordCodes", "bounded_batches", "held_out", "numbered", "table", "stored"]
+__all__ = ["BATCH_ROWS", "WordCodes", "bounded_batches", "held_out", "numbered", "table", "stored", "with_columns"]
 
 #: Rows per Arrow batch. A batch holds whole texts, so its memory is this many texts.
 BATCH_ROWS = 256
@@ -28,6 +29,34 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_ARROW = {
+    "string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(),
+    "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),
+    "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+}
+
+
+def with_columns(
+    df: DataFrame, source: str, fields: dict[str, str], make: Callable[[list], Sequence[Sequence]], drop: bool = True
+) -> DataFrame:
+    """Adds ``fields`` (name to type), which ``make`` computes from a list of ``source`` values.
+
+    ``make`` returns one sequence for each field. The other columns pass through the Python
+    workers as they are; ``source`` itself goes unless ``drop`` is false.
+    """
+    rows = df.drop(source) if drop else df
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{n}` {t}" for n, t in fields.items())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(batch.column(source).to_pylist())
+            kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != source or not drop]
+            new = [(n, pa.array(v, _ARROW[t])) for (n, t), v in zip(fields.items(), made)]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept + new], [n for n, _ in kept + new])
+
+    return bounded_batches(df).mapInArrow(run, schema)
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Adds a row number that is unique also where ``doc_id`` repeats or is null.
 

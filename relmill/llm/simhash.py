@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import bounded_batches, numbered, stored
+from relmill.llm.common import numbered, stored, with_columns
 from relmill.llm.components import components
 
 RADIUS = 2
@@ -58,13 +58,11 @@ def _bit_sums(hashes: np.ndarray) -> np.ndarray:
 def with_fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, _fp long): one row per row of ``docs``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = np.array([fingerprint(t, size, seed) for t in batch["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "_fp": prints.view(np.int64)})
+    def prints(texts: list[str | None]) -> list[np.ndarray]:
+        return [np.array([fingerprint(t, size, seed) for t in texts], np.uint64).view(np.int64)]
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInPandas(
-        run, "doc_id long, _fp long"
+    return with_columns(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "text", {"_fp": "long"}, prints
     )
 
 
