@@ -1,29 +1,28 @@
 """Toxic documents by multiple-instance learning.
 
-Labels are on documents, offences are in sentences. A sentence's score is logistic in its
-words; a document's score is the noisy-or of its sentences: 1 - prod(1 - s). Training
-follows the document labels through that formula, so the weight goes to the sentences that
+Labels are on documents, offences are in sentences. A sentence's score is logistic in
+the words and word beginnings it holds, with weights of zero or more: words can accuse a
+sentence, none can excuse it. A document's score is the noisy-or of its sentences:
+1 - prod(1 - s), s being what a sentence scores above one without any evidence. Training follows the document labels through that formula, so the weight goes to the sentences that
 explain a label, and afterwards the model points at them.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import WordCodes, bare, bounded_batches, with_columns, word_hash
+from relmill.llm.common import WordCodes, bare, with_columns
 
 #: The fit reads at most so many labelled documents of each class, of at most so many characters.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 3000, 5000, 40_000
-#: A word counts as a feature from so many documents of the sample on.
-LEAST_DOCS = 4
-STEPS, RATE, DECAY = 200, 0.15, 2e-4
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 4000, 40_000
+#: A feature occurs in so many documents of the sample at least, and so much more often in toxic ones.
+LEAST_DOCS, LEAST_LIFT = 3, 2.0
+STEPS, RATE, SHRINK = 150, 0.2, 2e-4
 THRESHOLD = 0.7
 
 _ENDS = (".", "!", "?", "…", ".\"", "!\"", "?\"", ".)", "!)", "?)")
@@ -32,14 +31,19 @@ _SPAN = re.compile(r"\S+")
 
 @dataclass
 class Model:
-    """Weights by word hash, and the score of a sentence without known words, as a logit."""
+    """Weights of words and word beginnings, and the logit of a sentence without any."""
 
-    words: np.ndarray
-    weights: np.ndarray
+    weights: dict[str, float]
     bias: float
 
 
-EMPTY = Model(np.empty(0, np.int64), np.empty(0), -30.0)
+EMPTY = Model({}, -30.0)
+
+
+def features(word: str) -> list[str]:
+    """A word, and its first 3, 4 and 5 letters."""
+    word = bare(word)
+    return ["=" + word, *(f"{k}{word[:k]}" for k in (3, 4, 5) if len(word) >= k)] if word else []
 
 
 def _sentences(text: str) -> tuple[list[str], list[int]]:
@@ -55,12 +59,11 @@ def _sentences(text: str) -> tuple[list[str], list[int]]:
 
 
 class _Lookup:
-    """From words to twice their feature number (0: none), plus 1 where a sentence ends."""
+    """From words to their weight, as a whole number of millionths with the lowest bit set where a sentence ends."""
 
     def __init__(self, model: Model) -> None:
-        at = {int(h): i + 1 for i, h in enumerate(model.words)}
-        self.codes = WordCodes(lambda w: 2 * at.get(word_hash(bare(w)), 0) + w.endswith(_ENDS))
-        self.weights = np.r_[0.0, model.weights]
+        weights = model.weights
+        self.codes = WordCodes(lambda w: 2 * round(1e6 * sum(weights.get(f, 0.0) for f in features(w))) + w.endswith(_ENDS))
         self.bias = model.bias
 
     def sentence_logits(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -71,11 +74,14 @@ class _Lookup:
         codes = self.codes.array(words)
         first = np.union1d(np.asarray(starts), np.flatnonzero(codes & 1) + 1)
         first = first[first < len(words)]
-        return np.add.reduceat(self.weights[codes >> 1], first) + self.bias, first, len(words)
+        return np.add.reduceat(codes >> 1, first) / 1e6 + self.bias, first, len(words)
 
 
-def noisy_or(logits: np.ndarray) -> float:
-    return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
+def noisy_or(logits: np.ndarray, bias: float) -> float:
+    """1 - prod(1 - s) over sentences, with s = (p - p0) / (1 - p0): the logistic score p of a
+    sentence above p0, that of one without any feature. So a text does not turn toxic by its length."""
+    some = logits[logits > bias]
+    return float(-np.expm1(-(np.logaddexp(0, some) - np.logaddexp(0, bias)).sum())) if len(some) else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, steps: int = STEPS) -> Model:
@@ -83,7 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, steps:
 
     Of labelled ids, the first ``FIT_TOXIC`` and ``FIT_CLEAN`` in the order of a hash take
     part; texts above ``FIT_CHARS`` don't. A repeated label counts as toxic if one is. The
-    driver receives word hashes of these documents only.
+    driver receives these texts only.
     """
     told = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     told = told if where is None else told.where(where)
@@ -91,58 +97,69 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, steps:
     dice = F.xxhash64("doc_id", F.lit(9))
     sample = told.where("_toxic = 1").orderBy(dice).limit(FIT_TOXIC).unionByName(told.where("_toxic = 0").orderBy(dice).limit(FIT_CLEAN))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = WordCodes(lambda w: 2 * word_hash(bare(w)) + w.endswith(_ENDS))
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found, starts = _sentences(text)
-                code = codes.array(found)
-                ends = np.zeros(len(found) + 1, bool)
-                ends[starts] = True
-                ends[np.flatnonzero(code & 1) + 1] = True
-                rows.append((code >> 1 << 1 | ends[:-1]).astype("<i8").tobytes())
-            yield pd.DataFrame({"toxic": batch["_toxic"], "words": rows})
-
     # at most FIT_TOXIC + FIT_CLEAN ids of 12 bytes
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= FIT_CHARS)
-    chosen = chosen.join(F.broadcast(sample), "doc_id").select("text", "_toxic")
-    found = bounded_batches(chosen).mapInPandas(words, "toxic int, words binary").toPandas()
-    bags = [np.frombuffer(x, "<i8") for x in found["words"]]
-    return train(bags, found["toxic"].to_numpy(), steps)
+    found = chosen.join(F.broadcast(sample), "doc_id").select("text", "_toxic").toPandas()
+    return train(found["text"].tolist(), found["_toxic"].tolist(), steps)
 
 
-def train(bags: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS) -> Model:
-    """``bags``: for each document its words as twice their hash, plus 1 at the start of a sentence."""
-    order = sorted((i for i in range(len(bags)) if len(bags[i])), key=lambda i: (bags[i].tobytes(), toxic[i]))  # the same model however rows arrive
-    bags, toxic = [bags[i] for i in order], np.asarray(toxic)[order] if order else np.empty(0)
-    if not len(toxic) or toxic.min() == toxic.max():
+def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model:
+    """Follows the likelihood of the labels by gradient steps; the same model however the rows are ordered."""
+    order = sorted(range(len(texts)), key=lambda i: (texts[i], toxic[i]))
+    is_toxic = np.array([toxic[i] for i in order], bool)
+    if not len(order) or is_toxic.all() or not is_toxic.any():
+        return EMPTY
+    numbers: dict[str, int] = {}
+    word, sentence, of = [], [], []  # of: the document of each sentence
+    for d, i in enumerate(order):
+        words, starts = _sentences(texts[i])
+        begins = set(starts)
+        for k, w in enumerate(words):
+            if k in begins or words[k - 1].endswith(_ENDS):
+                of.append(d)
+            word.append(numbers.setdefault(w, len(numbers)))
+            sentence.append(len(of) - 1)
+    word, sentence, of = np.array(word, np.int64), np.array(sentence, np.int64), np.array(of, np.int64)
+    if not len(word):
         return EMPTY
-    flat = np.concatenate(bags)
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    pairs = np.unique(np.stack([flat >> 1, doc]), axis=1)
-    words, spread = np.unique(pairs[0], return_counts=True)
-    words = words[spread >= LEAST_DOCS]
-    sentence = np.cumsum(flat & 1) - 1
-    of = doc[np.flatnonzero(flat & 1)]
-    at = np.searchsorted(words, flat >> 1)
-    known = at < len(words)
-    known[known] = words[at[known]] == (flat >> 1)[known]
-    at, sentence = at[known], sentence[known]
-    weight = np.where(toxic == 1, 0.5 / (toxic == 1).sum(), 0.5 / (toxic == 0).sum()) * len(toxic)
-    w, b = np.zeros(len(words)), -5.0
-    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
+    names: dict[str, int] = {}
+    at_word, at_feature = [], []
+    for w, k in numbers.items():
+        for f in features(w):
+            at_word.append(k)
+            at_feature.append(names.setdefault(f, len(names)))
+    at_word, at_feature = np.array(at_word, np.int64), np.array(at_feature, np.int64)
+    # documents with each feature, by label
+    both = np.unique(of[sentence] * len(numbers) + word)
+    doc, held = both // len(numbers), both % len(numbers)
+    begin = np.searchsorted(at_word, np.arange(len(numbers) + 1))
+    times = np.diff(begin)[held]
+    feature = at_feature[np.repeat(begin[held], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    seen = np.unique(np.repeat(doc, times) * len(names) + feature)
+    bad = np.bincount(seen % len(names), is_toxic[seen // len(names)], len(names))
+    good = np.bincount(seen % len(names), ~is_toxic[seen // len(names)], len(names))
+    lift = (bad + 0.5) / (is_toxic.sum() + 1) * ((~is_toxic).sum() + 1) / (good + 0.5)
+    useful = (bad + good >= LEAST_DOCS) & (lift >= LEAST_LIFT)
+    number = np.cumsum(useful) - 1
+    keep = useful[at_feature]
+    at_word, at_feature, n = at_word[keep], number[at_feature[keep]], int(useful.sum())
+    w, b = np.zeros(n), -5.0
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    matters = np.isin(word, at_word)
+    word, sentence = word[matters], sentence[matters]
     for step in range(1, steps + 1):
-        z = b + np.bincount(sentence, w[at], len(of))
-        a = np.bincount(of, np.logaddexp(0, z), len(bags))  # the document's score is 1 - exp(-a)
-        pull = weight * np.where(toxic == 1, -1 / np.expm1(np.clip(a, 1e-6, 500)), 1.0)
-        dz = pull[of] / (1 + np.exp(-z)) / len(bags)
-        grad = np.r_[np.bincount(at, dz[sentence], len(words)) + DECAY * w, dz.sum()]
+        z = b + np.bincount(sentence, np.bincount(at_word, w[at_feature], len(numbers))[word], len(of))
+        a = np.bincount(of, np.logaddexp(0, z) - np.logaddexp(0, b), len(order))  # the document's score is 1 - exp(-a)
+        pull = np.where(is_toxic, -1 / np.expm1(np.clip(a, 1e-3, 500)), 1.0) / len(order)
+        dz = pull[of] * np.exp(-np.logaddexp(0, -z))
+        db = dz - pull[of] * np.exp(-np.logaddexp(0, -b))
+        by_word = np.bincount(word, dz[sentence], len(numbers))
+        grad = np.r_[np.bincount(at_feature, by_word[at_word], n) + SHRINK, db.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    keep = np.abs(w) > 1e-3
-    return Model(words[keep], w[keep], float(b))
+        w, b = np.maximum(0, w - move[:-1]), b - move[-1]
+    listed = np.array(list(names), object)[useful]
+    return Model({str(f): float(x) for f, x in zip(listed, w) if x > 1e-3}, float(b))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -166,7 +183,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, threshol
                 continue
             worst = int(np.argmax(logits))
             start, end = _span(text, int(first[worst]), int(first[worst + 1]) if worst + 1 < len(first) else n)
-            p = noisy_or(logits)
+            p = noisy_or(logits, of.bias)
             out.append((p, int(p >= threshold), len(logits), int((logits >= least).sum()), start, end))
         return list(zip(*out)) if out else [[]] * 6
 
@@ -186,12 +203,12 @@ def _span(text: str, first: int, end: int) -> tuple[int, int]:
     return start, stop
 
 
-_cached: list[tuple[bytes, _Lookup]] = []
+_cached: list[tuple[str, _Lookup]] = []
 
 
 def _lookup(model: Model) -> _Lookup:
     """The worker's lookup for a model; built once for all batches of a task."""
-    key = model.words.tobytes() + model.weights.tobytes() + repr(model.bias).encode()
+    key = repr((sorted(model.weights.items()), model.bias))
     if not _cached or _cached[0][0] != key:
         _cached[:] = [(key, _Lookup(model))]
     return _cached[0][1]
