@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relmill.llm import bpe, langid, pii, simhash, toxicity
+from relmill.llm import bpe, langid, packing, pii, quality, simhash, toxicity
 from relmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,3 +59,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(docs, pii.fit(docs))
     counts = [f"n_{k}" for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query("op8_importance_resampling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.select_by_importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@query("op10_packed_ids")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
