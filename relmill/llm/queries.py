@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relmill.llm import bpe, langid, packing, pii, quality, simhash, toxicity
+from relmill.llm import bpe, decontaminate, langid, packing, pii, quality, simhash, toxicity
 from relmill.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packed_ids")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
