@@ -38,7 +38,9 @@ REACH = 64
 AHEAD = 16
 
 _CUT = re.compile(r"(?<=[^\s᠎​﻿]) (?=[^\s᠎​﻿])")
-_ODD = re.compile(r"[^\S \n]|[᠎​﻿]|\s\s|\A\s|\s\Z")
+#: White space (to any reader of the pattern) besides the space and the line end.
+_ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u200b\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
+_CLOSERS = frozenset(".,;:!?)")
 
 
 def default_path() -> str:
@@ -57,15 +59,18 @@ def _byte_names() -> dict[str, int]:
 class _Pieces(dict):
     """Bounded cache from a stretch of text to its ids."""
 
-    def __init__(self, codec: Codec, before: str, limit: int = 300_000) -> None:
+    def __init__(self, codec: Codec, before: str, limit: int = 400_000) -> None:
         super().__init__()
         self.codec, self.before, self.limit = codec, before, limit
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.codec.direct(self.before + piece)
-        if len(piece) <= 64:
-            if len(self) >= self.limit:
-                self.clear()
+        if piece.isalpha():
+            ids = self.codec.letters(self.before + piece)
+        elif piece[-1:] in _CLOSERS and piece[:-1].isalpha():
+            ids = self[piece[:-1]] + self.codec.heads[piece[-1]]
+        else:
+            ids = self.codec.direct(self.before + piece)
+        if len(piece) <= 64 and len(self) < self.limit:  # full: what came first holds the frequent ones
             self[piece] = ids
         return ids
 
@@ -101,17 +106,25 @@ class Codec:
         self.special_ids = specials
         size = max(self.bytes_of) + 1
         self.length = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], np.int64)
+        self.names = {b: c for c, b in names.items()}
+        self.plain = not any(s.strip().isalpha() for s in specials)
         self.heads, self.words = _Pieces(self, ""), _Pieces(self, " ")
 
     def direct(self, text: str) -> tuple[int, ...]:
         return tuple(self.tok.encode(text, add_special_tokens=False).ids)
 
+    def letters(self, text: str) -> tuple[int, ...]:
+        """Ids of letters after at most one space, which are one pre-token."""
+        if not self.plain:  # a special token may be all letters
+            return self.direct(text)
+        return tuple(t.id for t in self.tok.model.tokenize("".join(map(self.names.__getitem__, text.encode()))))
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text. It is cut before single spaces between words and around single
         line ends, where a pre-token always starts; repeated stretches are looked up."""
         if not text:
             return np.empty(0, np.uint32)
-        if _ODD.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(c in text for c in _ODD):
             lines = [_CUT.split(text)]
         else:
             lines = [line.split(" ") for line in text.split("\n")]
