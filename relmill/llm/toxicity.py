@@ -10,6 +10,7 @@ explain a label, and afterwards the model points at them.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 from relmill.llm.common import WordCodes, bare, with_columns
 
 #: The fit reads at most so many labelled documents of each class, of at most so many characters.
-FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 2500, 4000, 40_000
+FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3500, 20_000
 #: A feature occurs in so many documents of the sample at least, and so much more often in toxic ones.
-LEAST_DOCS, LEAST_LIFT = 3, 2.0
+LEAST_DOCS, LEAST_LIFT = 4, 4.0
 STEPS, RATE, SHRINK = 150, 0.2, 2e-4
 THRESHOLD = 0.7
 
@@ -110,7 +111,7 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model:
     if not len(order) or is_toxic.all() or not is_toxic.any():
         return EMPTY
     numbers: dict[str, int] = {}
-    word, sentence, of = [], [], []  # of: the document of each sentence
+    word, sentence, of = array("q"), array("q"), array("q")  # of: the document of each sentence
     for d, i in enumerate(order):
         words, starts = _sentences(texts[i])
         begins = set(starts)
@@ -119,7 +120,7 @@ def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Model:
                 of.append(d)
             word.append(numbers.setdefault(w, len(numbers)))
             sentence.append(len(of) - 1)
-    word, sentence, of = np.array(word, np.int64), np.array(sentence, np.int64), np.array(of, np.int64)
+    word, sentence, of = (np.frombuffer(x, np.int64) if len(x) else np.empty(0, np.int64) for x in (word, sentence, of))
     if not len(word):
         return EMPTY
     names: dict[str, int] = {}
