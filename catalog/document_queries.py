@@ -654,8 +654,10 @@ def get_skill(spark, sf_dir):
     return S.get_skill(spark, skill_folder(spark, sf_dir), "NATION_3").select("name", "description")
 
 
-def fresh_routes(spark, sf_dir, label: str, condition: str):
-    docs = table(spark, sf_dir, "documents").filter(condition)
+def fresh_routes(spark, sf_dir, label: str, known: str):
+    """Routes of all documents; a text that is not ``known`` counts as another version of itself."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("text", F.when(F.expr(known), F.col("text")).otherwise(F.concat(F.lit(f"{label}: "), F.col("text"))))
     route = F.struct(
         F.array("lang").alias("selected_skills"), F.lit(None).cast(G.SCORES_TYPE).alias("scores"),
         F.lit(label).alias("router_reason"), F.lit(G.MODE_RULE).alias("router_mode"),
@@ -663,8 +665,11 @@ def fresh_routes(spark, sf_dir, label: str, condition: str):
     return docs.groupBy(doc_hash(F.col("text")).alias("doc_hash")).agg(F.min_by(route, "doc_id").alias("route"))
 
 
-ROUTE_LOG = """routes AS (SELECT sha256(text) AS doc_hash, arg_min(lang, doc_id) FILTER (lang <> 'fr') AS a,
-  arg_min(lang, doc_id) FILTER (n_chars > 1000) AS b FROM documents WHERE lang <> 'fr' OR n_chars > 1000 GROUP BY text)"""
+ROUTE_LOG = """versions AS (
+    SELECT CASE WHEN lang <> 'fr' THEN text ELSE 'first: ' || text END AS text, lang, doc_id, 1 AS n FROM documents
+    UNION ALL SELECT CASE WHEN n_chars > 1000 THEN text ELSE 'second: ' || text END, lang, doc_id, 2 FROM documents),
+  routes AS (SELECT sha256(text) AS doc_hash, arg_min(lang, doc_id) FILTER (n = 1) AS a,
+    arg_min(lang, doc_id) FILTER (n = 2) AS b FROM versions GROUP BY text)"""
 LATEST_ROUTES = """SELECT doc_hash, coalesce(b, a) AS skills, CASE WHEN b IS NULL THEN 'first' ELSE 'second' END AS reason FROM routes"""
 
 
@@ -687,7 +692,7 @@ def task_results(spark, sf_dir):
     docs = relation_docs(spark, sf_dir)
     return docs.select(
         F.col("doc_id").alias("task_id"), F.concat(F.lit(" \n"), F.col("text"), F.lit(" ")).alias("document_text"),
-        F.when(F.col("doc_id") % 4 != 0, F.slice("relations", 1, 2)).alias("paragraphs"), F.lit("x").alias("_pages_res"),
+        F.when(F.col("doc_id") % 4 != 0, F.col("relations")).alias("paragraphs"), F.lit("x").alias("_pages_res"),
     )
 
 
@@ -695,7 +700,7 @@ def task_results(spark, sf_dir):
     "k1_result_artifacts",
     with_ctes(RELATIONS)
     + f"""SELECT doc_id AS task_id, {sql_strip('text')} || chr(10) AS document_text,
-      CAST(CASE WHEN doc_id % 4 <> 0 THEN least(coalesce(n, 0), 2) ELSE 0 END AS INTEGER) AS n_paragraphs,
+      CAST(CASE WHEN doc_id % 4 <> 0 THEN coalesce(n, 0) ELSE 0 END AS INTEGER) AS n_paragraphs,
       {sql_strip('text')} || ' ' = {sql_strip('text')} AS has_private FROM documents
       LEFT JOIN (SELECT doc_id, count(*) AS n FROM rel GROUP BY doc_id) USING (doc_id)""",
 )
@@ -737,21 +742,22 @@ def merge_routes(spark, sf_dir):
 
 def _upserted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    name = lambda offset=0: F.concat(F.lit("s"), F.col("doc_id") + offset)
-    registry = docs.filter("lang != 'de'").select(name().alias("name"), F.col("lang").alias("description"))
+    name = lambda offset=0, kind=F.lit("s"): F.concat(kind, F.col("doc_id") + offset)
+    german = F.when(F.col("lang") == "de", "t").otherwise("s")
+    registry = docs.select(name(0, german).alias("name"), F.col("lang").alias("description"))
     d = F.col("doc_id")
-    changes = docs.filter("source != 'src0'").select(
+    changes = docs.select(
         F.when(d % 5 == 0, F.concat(F.lit("new"), d)).when(d % 5 == 1, name(4)).otherwise(name()).alias("name"),
         F.col("source").alias("description"),
         F.when(d % 2 + d % 5 == 3, "create").otherwise("update").alias("action"),
-        name().alias("target"),
+        name(0, F.when(F.col("source") == "src0", "u").otherwise("s")).alias("target"),
     )
     return R.upsert_skills(registry, changes)
 
 
-UPSERTS = """reg AS (SELECT 's' || doc_id AS name, lang AS description FROM documents WHERE lang <> 'de'),
+UPSERTS = """reg AS (SELECT CASE lang WHEN 'de' THEN 't' ELSE 's' END || doc_id AS name, lang AS description FROM documents),
   chg AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'new' || doc_id WHEN doc_id % 5 = 1 THEN 's' || (doc_id + 4) ELSE 's' || doc_id END AS name,
-    source AS description, doc_id % 2 + doc_id % 5 = 3 AS creates, 's' || doc_id AS target FROM documents WHERE source <> 'src0'),
+    source AS description, doc_id % 2 + doc_id % 5 = 3 AS creates, CASE source WHEN 'src0' THEN 'u' ELSE 's' END || doc_id AS target FROM documents),
   judged AS (SELECT *, CASE WHEN creates THEN CASE WHEN name IN (SELECT name FROM reg) THEN 'conflict' END
     WHEN target NOT IN (SELECT name FROM reg) THEN 'not found'
     WHEN target <> name AND name IN (SELECT name FROM reg) THEN 'conflict' END AS reason FROM chg)"""

@@ -10,19 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relmill.functions.rows import spread
 from relmill.functions.text import WS, WS_CHARS, let, non_empty, strip
 from relmill.operators.skills import Example, Skill
 from relmill.plans.store import work_dir  # noqa: F401
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 # ---- plumbing ---------------------------------------------------------------------------
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def q(text: str) -> str:
@@ -79,29 +74,34 @@ LINES = f"""lines AS (
 
 # ---- outline documents ------------------------------------------------------------------
 def outline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose lines are decorated as chapter, numbered, document-title or body."""
+    """Documents with chapter, numbered and document titles put before some of their lines.
 
-    def decorate(p: Column, i: Column) -> Column:
-        return (
+    Every line stays whole; a title is made from the beginning of the line it precedes.
+    """
+
+    def titled(p: Column, i: Column) -> Column:
+        title = (
             F.when(i % 9 == 0, F.concat(F.lit("一、"), F.substring(p, 1, 20)))
             .when((i % 9).isin(1, 4), F.concat(F.lit("1."), i.cast("string"), F.lit(" "), F.substring(p, 1, 15)))
             .when(i % 9 == 6, F.concat(F.lit("《"), F.substring(p, 1, 10), F.lit("》")))
             .when(i % 9 == 7, F.concat(F.lit("二、"), F.substring(p, 1, 12)))
-            .otherwise(p)
         )
+        return F.array_compact(F.array(title, p))
 
     docs = table(spark, sf_dir, "documents")
-    text = F.array_join(F.transform(line_array(F.col("text")), decorate), "\n\n")
+    text = F.array_join(F.flatten(F.transform(line_array(F.col("text")), titled)), "\n\n")
     return docs.select("doc_id", text.alias("text"))
 
 
 OUTLINE = (
     LINES,
-    f"""paras AS (SELECT doc_id, i, {sql_strip('t')} AS p FROM (
+    f"""titled AS (SELECT doc_id, 2 * i AS k, {sql_strip('t')} AS p FROM (
   SELECT doc_id, i, CASE i % 9 WHEN 0 THEN '一、' || substr(p, 1, 20)
     WHEN 1 THEN '1.' || i || ' ' || substr(p, 1, 15) WHEN 4 THEN '1.' || i || ' ' || substr(p, 1, 15)
-    WHEN 6 THEN '《' || substr(p, 1, 10) || '》' WHEN 7 THEN '二、' || substr(p, 1, 12)
-    ELSE p END AS t FROM lines))""",
+    WHEN 6 THEN '《' || substr(p, 1, 10) || '》' WHEN 7 THEN '二、' || substr(p, 1, 12) END AS t FROM lines)
+    WHERE t IS NOT NULL)""",
+    """paras AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS i FROM (
+    FROM titled UNION ALL SELECT doc_id, 2 * i + 1, p FROM lines))""",
 )
 KINDS = f"""kinds AS (SELECT *, CASE
     WHEN regexp_matches(p, '^\\p{{Nd}}+([.．]\\p{{Nd}}+)+{WS}*[^\\n]*$') THEN 'N'

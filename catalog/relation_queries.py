@@ -343,7 +343,7 @@ def review_inputs(spark, sf_dir):
     """Predictions, texts and replies: the last relations of a document come back changed."""
     docs = relation_docs(spark, sf_dir)
     changed = F.transform(
-        F.slice("relations", 1, 3), lambda r: r.withField("relation", F.lit("位于"))
+        "relations", lambda r: r.withField("relation", F.lit("位于"))
     )
     replies = docs.select("doc_id", "lang", changed.alias("relations"))
     # English documents come back from the targeted review, French ones from the full one
@@ -392,10 +392,10 @@ def reply_docs(spark, sf_dir, wrapper: str = "relation_list", fields=("head", "r
         parts = [F.lit("{")]
         for i, (name, field) in enumerate(zip(fields, source)):
             parts += [F.lit(f'{", " if i else ""}"{name}": "{"{" if i == 2 else ""}'), plain(r[field]), F.lit('"')]
-        return F.concat(*parts, F.lit("}"))
+        return F.concat(*parts, F.lit(', "notes": ["x", {"y": 1}]}'))
 
     body = F.array_join(F.transform("relations", item), ", ")
-    whole = F.concat(F.lit(f'{{"{wrapper}": ['), body, F.lit("]}"))
+    whole = F.concat(F.lit(f'{{"{wrapper}": ["odd", '), body, F.lit("]}"))
     cut = F.substring(whole, F.lit(1), F.floor(F.char_length(whole) * 2 / 3).cast("int"))
     d = F.col("doc_id") % 5
     reply = (
@@ -408,16 +408,16 @@ def reply_docs(spark, sf_dir, wrapper: str = "relation_list", fields=("head", "r
     return docs.select("doc_id", reply.alias("reply"))
 
 
-# an item reads {"head": "H", "relation": "R", "tail": "{T"}: 39 characters around the values
+# an item reads {"head": "H", "relation": "R", "tail": "{T", "notes": [...]}; a stray string comes first
 PARSED = (
     RELATIONS,
     f"""items AS (SELECT doc_id, relation_ord, regexp_replace(head, '[^A-Za-z0-9 ]', '', 'g') AS head,
       regexp_replace(skill, '[^A-Za-z0-9 ]', '', 'g') AS relation,
       '{{' || regexp_replace(evidence, '[^A-Za-z0-9 ]', '', 'g') AS tail FROM rel)""",
-    """sized AS (SELECT *, length('{"head": "", "relation": "", "tail": ""}') + length(head) + length(relation)
+    """sized AS (SELECT *, length('{"head": "", "relation": "", "tail": "", "notes": ["x", {"y": 1}]}') + length(head) + length(relation)
       + length(tail) + 2 AS n FROM items)""",
-    """placed AS (SELECT *, 19 + sum(n) OVER (PARTITION BY doc_id ORDER BY relation_ord) - 2 AS stop,
-      (19 + sum(n) OVER (PARTITION BY doc_id) - 2 + 2) * 2 // 3 AS cut FROM sized)""",
+    """placed AS (SELECT *, 26 + sum(n) OVER (PARTITION BY doc_id ORDER BY relation_ord) - 2 AS stop,
+      (26 + sum(n) OVER (PARTITION BY doc_id) - 2 + 2) * 2 // 3 AS cut FROM sized)""",
 )
 
 
@@ -477,22 +477,24 @@ def with_extractor(spark, sf_dir):
 def alias_docs(spark, sf_dir):
     """Documents with alias replies: valid groups, a too short name, a non-list value."""
     docs = table(spark, sf_dir, "documents")
-    word = lambda i: F.regexp_replace(F.coalesce(F.get(F.split("text", " "), F.lit(i)), F.lit("")), "[^A-Za-z]", "")
+    words = F.filter(F.transform(F.split("text", " "), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: w != "")
+    word = lambda w: F.coalesce(w, F.lit(""))
+    longer = F.filter("_w", lambda w: F.char_length(w) >= 5)
     reply = F.concat(
-        F.lit('```json\n{"FIRST": ["'), word(0), F.lit('", "x", " '), word(1), word(2), F.lit('"], "y": ["abc"], "n": "abc", "SECOND": ["'),
-        word(3), F.lit('", "SECOND", "the"]}\n```'),
+        F.lit('Here it is:\n```json\n{"FIRST": ["'), word(F.array_min("_w")), F.lit('", "x", " '), word(F.array_max("_w")),
+        F.lit('"], "y": ["abc"], "n": "abc", "SECOND": ["'), word(F.array_min(longer)), F.lit('", "SECOND", "the"]}\n```'),
     )
+    docs = docs.withColumn("_w", words)
     return docs.select("doc_id", "text", reply.alias("reply"))
 
 
-def _word(i: int) -> str:
-    return f"regexp_replace(coalesce(string_split(text, ' ')[{i + 1}], ''), '[^A-Za-z]', '', 'g')"
-
-
 ALIASES = (
-    f"""raw AS (SELECT doc_id, text, unnest([{_word(0)}, 'x', {_word(1)} || {_word(2)}]) AS alias, 0 AS g, unnest([0, 1, 2]) AS a,
-        'FIRST' AS canonical FROM documents
-      UNION ALL SELECT doc_id, text, unnest([{_word(3)}, 'SECOND', 'the']), 1, unnest([0, 1, 2]), 'SECOND' FROM documents)""",
+    """cleaned AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, ' '),
+      lambda w: regexp_replace(w, '[^A-Za-z]', '', 'g')), lambda w: w <> '') AS w FROM documents)""",
+    """raw AS (SELECT doc_id, text, unnest([coalesce(list_min(w), ''), 'x', coalesce(list_max(w), '')]) AS alias, 0 AS g,
+        unnest([0, 1, 2]) AS a, 'FIRST' AS canonical FROM cleaned
+      UNION ALL SELECT doc_id, text, unnest([coalesce(list_min(list_filter(w, lambda x: length(x) >= 5)), ''), 'SECOND', 'the']), 1,
+        unnest([0, 1, 2]), 'SECOND' FROM cleaned)""",
     """valid AS (SELECT doc_id, text, canonical, alias, dense_rank() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS group_ord,
       row_number() OVER (PARTITION BY doc_id, g ORDER BY a) - 1 AS alias_ord FROM raw WHERE length(alias) >= 2 AND alias <> canonical)""",
 )

@@ -42,16 +42,17 @@ def selected_rows(df, column: str = "selected_skills"):
 # ---- routing ------------------------------------------------------------------------------
 @query(
     "g1_keyword_idf",
-    """WITH kw AS (SELECT source AS skill, string_split(text, ' ')[1] AS keyword FROM documents),
-      n AS (SELECT count(DISTINCT skill) AS n FROM kw)
+    """WITH kw AS (SELECT source AS skill, unnest(string_split(text, ' ')) AS keyword FROM documents),
+      n AS (SELECT count(*) AS n FROM (SELECT skill FROM kw UNION SELECT n_name FROM nation))
     SELECT keyword, count(*) AS hits, round(ln(any_value(n.n) / count(*)) + 1.0, 6) AS idf
     FROM kw, n WHERE keyword <> '' GROUP BY keyword""",
 )
 def keyword_idf(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("skill"), F.get(F.split("text", " "), F.lit(0)).alias("keyword")
-    )
-    return G.keyword_idf(words).withColumn("idf", F.round("idf", 6))
+    """Every word of a source is a keyword of it; nations are skills without keywords."""
+    words = table(spark, sf_dir, "documents").select(F.col("source").alias("skill"), F.explode(F.split("text", " ")).alias("keyword"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    registry = table(spark, sf_dir, "documents").select(F.col("source").alias("name")).union(names)
+    return G.keyword_idf(words, registry).withColumn("idf", F.round("idf", 6))
 
 
 @query("g2_keyword_scores", with_ctes(*SCORES) + "SELECT * FROM scores")
@@ -131,8 +132,8 @@ def router_replies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     first = F.get(F.array(F.lit("german"), F.lit("bogus"), F.lit("web")), (F.col("doc_id") % 3).cast("int"))
     reply = F.concat(
-        F.lit('```json{"primary_skill":"'), first, F.lit('","aux_skills":["french","'), F.col("lang"),
-        F.lit('","german","spanish","english"],"reason":"r'), F.col("doc_id"), F.lit('"}```'),
+        F.lit('```json\nMy choice: {"primary_skill":"'), first, F.lit('","aux_skills":["french","'), F.col("lang"),
+        F.lit('","german","spanish","english"],"reason":"r'), F.col("doc_id"), F.lit('"} as asked```'),
     )
     broken = F.when(F.col("lang") != "es", "no json")
     unusable = (F.col("doc_id") % 7 == 0) | (F.col("lang") == "es")

@@ -35,19 +35,3 @@ def posexplode(array: Column | str) -> Column:
 
 def inline(array: Column | str) -> Column:
     return F.inline(whole(array))
-
-
-TASK_BYTES = 32 * 1024 * 1024
-TASKS_PER_CORE = 4  # documents differ in length by orders of magnitude
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input.
-
-    A small file may consist of one row group, which is one task however many cores wait.
-    Below ``TASK_BYTES`` per core the rows are dealt out once; larger inputs already come
-    in enough splits and pass through untouched, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores * TASKS_PER_CORE) if int(str(size)) < cores * TASK_BYTES else df

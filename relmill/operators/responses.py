@@ -12,17 +12,27 @@ from relmill.functions.text import let, null_if_empty, strip, text_of
 
 RELATION_TYPE = "struct<head:string,relation:string,tail:string,evidence:string,skill:string>"
 RELATION_LIST = f"array<{RELATION_TYPE}>"
-TRIPLE_LIST = "array<struct<subject:string,relation:string,object:string>>"
+TRIPLE = "struct<subject:string,relation:string,object:string>"
 # ---- fixed values: reply syntax -----------------------------------------------------------
 THINKING = r"(?s)<think>.*?</think>"
 OPEN_FENCES = (r"\A```json", r"\A```")
 CLOSE_FENCE = r"```\z"
 LIST_KEY = '"relation_list"'
 JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
-FLAT_OBJECT = r"(?s)\{(?:[^{}\"]++|" + JSON_STRING + r")*+\}"
-# the objects that follow the opening bracket, strings skipped, up to the closing bracket
-OPEN_LIST = r"(?s)\[(?:[^\[\]\"]++|" + JSON_STRING + r")*+"
 # -------------------------------------------------------------------------------------------
+#: Objects inside objects that recovery follows.
+NESTING = 6
+
+
+def _balanced(depth: int) -> str:
+    """An object or list whose brackets close, strings skipped, with ``depth`` levels inside."""
+    inner = rf"[^{{}}\[\]\"]++|{JSON_STRING}" + (f"|{_balanced(depth - 1)}" if depth else "")
+    return rf"(?:\{{(?:{inner})*+\}}|\[(?:{inner})*+\])"
+
+
+OBJECT = r"(?s)(?=\{)" + _balanced(NESTING)
+#: What follows the opening bracket of a list, up to its own closing bracket or to where the text breaks off.
+OPEN_LIST = rf"(?s)\[(?:[^{{}}\[\]\"]++|{JSON_STRING}|{_balanced(NESTING)})*+"
 
 
 def clean_reply(raw: Column) -> Column:
@@ -33,25 +43,45 @@ def clean_reply(raw: Column) -> Column:
     return strip(F.regexp_replace(body, CLOSE_FENCE, ""))
 
 
-def _recovered(text: Column) -> Column:
-    """Complete flat objects behind the list key; null when there are none."""
+def reply_object(raw: Column) -> Column:
+    """The JSON object of a reply: the whole reply, else its part from the first to the last brace; null if neither parses."""
 
-    def objects(tail: Column) -> Column:
-        items = F.transform(
-            F.regexp_extract_all(tail, F.lit(FLAT_OBJECT), 0),
-            lambda o: F.when(F.try_parse_json(o).isNotNull(), F.from_json(o, RELATION_TYPE)),
+    def pick(text: Column) -> Column:
+        outer = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+        return F.when(F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull(), text).when(
+            (outer != "") & F.try_parse_json(outer).isNotNull(), outer
         )
-        return let(
-            F.array_compact(items), lambda xs: F.when(F.size(xs) > 0, xs)
+
+    return let(clean_reply(raw), pick)
+
+
+def _items(list_of: Column) -> Column:
+    """``STRUCT<relations, bad_items>`` of raw list elements: each object is parsed alone."""
+
+    def sort(items: Column) -> Column:
+        good = lambda x: F.startswith(x, F.lit("{")) & F.try_parse_json(x).isNotNull()
+        return F.struct(
+            F.transform(F.filter(items, good), lambda x: F.from_json(x, RELATION_TYPE)).alias("relations"),
+            F.filter(items, lambda x: ~good(x)).alias("bad_items"),
         )
 
+    return let(F.array_compact(F.coalesce(list_of, F.array().cast("array<string>"))), sort)
+
+
+def _recovered(text: Column) -> Column:
+    """The complete objects behind the list key; null when there are none."""
     at = F.locate(LIST_KEY, text)
     behind = F.when(at > 0, text.substr(at + F.lit(len(LIST_KEY)), F.char_length(text)))
-    return let(F.regexp_extract(behind, OPEN_LIST, 0), objects)
+    objects = F.regexp_extract_all(F.regexp_extract(behind, OPEN_LIST, 0), F.lit(OBJECT), 0)
+    return let(_items(objects), lambda r: F.when(F.size(r["relations"]) > 0, r))
 
 
 def reply_struct(raw: Column) -> Column:
-    """``STRUCT<relations, parse_mode>``: full JSON, outermost object, recovery or reject."""
+    """``STRUCT<relations, bad_items, parse_mode>``: full JSON, outermost object, recovery or reject.
+
+    A list element that is no object, or one that does not parse, goes to ``bad_items`` and
+    does not take the others with it.
+    """
 
     def parse(text: Column) -> Column:
         outer = F.regexp_extract(text, r"(?s)\{.*\}", 0)
@@ -60,11 +90,9 @@ def reply_struct(raw: Column) -> Column:
             full, obj = b["t"], b["o"]
             ok_full = F.try_parse_json(full).isNotNull()
             ok_outer = (obj != "") & F.try_parse_json(obj).isNotNull()
+            # text is what an element of type string holds, whatever the element is
+            listed = lambda j: _items(F.from_json(j, "struct<relation_list:array<string>>")["relation_list"])
             rescued = F.coalesce(_recovered(obj), _recovered(full))
-            listed = lambda j: F.coalesce(
-                F.from_json(j, f"struct<relation_list:{RELATION_LIST}>")["relation_list"],
-                F.array().cast(RELATION_LIST),
-            )
             return (
                 F.when(ok_full, _result(listed(full), "full"))
                 .when(ok_outer, _result(listed(obj), "outer"))
@@ -72,7 +100,7 @@ def reply_struct(raw: Column) -> Column:
                     let(
                         rescued,
                         lambda r: F.when(r.isNotNull(), _result(r, "recovered")).otherwise(
-                            _result(F.array().cast(RELATION_LIST), "rejected")
+                            _result(_items(F.array().cast("array<string>")), "rejected")
                         ),
                     )
                 )
@@ -83,15 +111,16 @@ def reply_struct(raw: Column) -> Column:
     return let(clean_reply(raw), parse)
 
 
-def _result(relations: Column, mode: str) -> Column:
-    return F.struct(relations.alias("relations"), F.lit(mode).alias("parse_mode"))
+def _result(items: Column, mode: str) -> Column:
+    return F.struct(items["relations"].alias("relations"), items["bad_items"].alias("bad_items"), F.lit(mode).alias("parse_mode"))
 
 
 def parse_responses(df: DataFrame, reply: str = "reply") -> DataFrame:
-    """Add ``relations ARRAY<STRUCT>`` and ``parse_mode`` to every reply row."""
+    """Add ``relations ARRAY<STRUCT>``, ``bad_items ARRAY<STRING>`` and ``parse_mode`` to every reply row."""
     parsed = df.withColumn("_p", reply_struct(F.col(reply)))
     return (
         parsed.withColumn("relations", F.col("_p.relations"))
+        .withColumn("bad_items", F.col("_p.bad_items"))
         .withColumn("parse_mode", F.col("_p.parse_mode"))
         .drop("_p")
     )
@@ -111,15 +140,17 @@ def parse_triples(
     def triples(text: Column) -> Column:
         valid = F.try_parse_json(text).isNotNull()
         head = F.substring(strip(text), 1, 1)
-        bare = F.when(valid & (head == "["), F.from_json(text, TRIPLE_LIST))
+        bare = F.when(valid & (head == "["), F.from_json(text, "array<string>"))
         named = F.when(
             valid & (head == "{"),
-            F.from_json(text, f"struct<relations:{TRIPLE_LIST}>")["relations"],
+            F.from_json(text, "struct<relations:array<string>>")["relations"],
         )
         inner = null_if_empty(F.regexp_extract(text, r"(?s)\[.*\]", 0))
-        found = F.when(F.try_parse_json(inner).isNotNull(), F.from_json(inner, TRIPLE_LIST))
-        objects = F.filter(F.coalesce(bare, named, found), lambda t: t.isNotNull())
-        return F.coalesce(objects, F.array().cast(TRIPLE_LIST))
+        found = F.when(F.try_parse_json(inner).isNotNull(), F.from_json(inner, "array<string>"))
+        # elements that are no objects are skipped, each on its own
+        objects = F.filter(F.coalesce(bare, named, found), lambda x: F.startswith(x, F.lit("{")))
+        parsed = F.transform(objects, lambda x: F.from_json(x, TRIPLE))
+        return F.coalesce(parsed, F.array().cast(f"array<{TRIPLE}>"))
 
     rows = df.select(
         *keep, posexplode(let(text_of(F.col(raw)), triples)).alias("triple_ord", "t")

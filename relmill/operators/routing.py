@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from relmill.functions.rows import inline, posexplode
 from relmill.functions.text import doc_hash, let, occurrences, unique_values
-from relmill.operators.responses import clean_reply
+from relmill.operators.responses import reply_object
 from relmill.operators.skills import Skill
 from relmill.plans.store import stored
 
@@ -46,13 +46,17 @@ ROUTE_TYPE = (
     f"struct<selected_skills:array<string>,scores:{SCORES_TYPE},router_reason:string,"
     "router_mode:string>"
 )
-INLINE_KEYWORDS = 64
 
 
 # ---- scores -------------------------------------------------------------------------------
-def keyword_idf(keywords: DataFrame) -> DataFrame:
-    """``ln(skills / hits) + 1`` per keyword of a ``(skill, keyword)`` table; repeats count."""
-    total = keywords.select(F.count_distinct("skill")).scalar()
+def keyword_idf(keywords: DataFrame, skills: DataFrame | None = None) -> DataFrame:
+    """``ln(skills / hits) + 1`` per keyword of a ``(skill, keyword)`` table; repeats count.
+
+    ``skills`` is the registry (``name``), which also counts skills without keywords; if it
+    is not given, the skills of ``keywords`` are counted.
+    """
+    names = keywords.select(F.col("skill").alias("name")) if skills is None else skills
+    total = names.select(F.count_distinct("name")).scalar()
     return (
         keywords.filter(F.col("keyword") != "")
         .groupBy("keyword")
@@ -71,22 +75,14 @@ def keyword_weights(skills: Sequence[Skill]) -> dict[str, float]:
 
 
 def _weighted_sum(text: Column, entries: list[tuple[str, float]]) -> Column:
+    """A balanced tree of sums: flat enough for the optimizer whatever the size of the lexicon."""
     if not entries:
         return F.lit(0.0)
-    if len(entries) <= INLINE_KEYWORDS:
-        total = F.lit(0.0)
-        for keyword, weight in entries:
-            total = total + occurrences(text, keyword) * F.lit(float(weight))
-        return total
-    # big lexicons: one folded literal array instead of thousands of expressions
-    table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in entries])
-
-    def step(acc: Column, e: Column) -> Column:
-        bytes_saved = F.octet_length(text) - F.octet_length(F.replace(text, e["k"], F.lit("")))
-        hit = F.when(F.contains(text, e["k"]), bytes_saved / F.octet_length(e["k"])).otherwise(0.0)
-        return acc + hit * e["w"]
-
-    return F.aggregate(table, F.lit(0.0), step)
+    if len(entries) == 1:
+        keyword, weight = entries[0]
+        return occurrences(text, keyword) * F.lit(float(weight))
+    half = len(entries) // 2
+    return _weighted_sum(text, entries[:half]) + _weighted_sum(text, entries[half:])
 
 
 def score_array(text: Column, skills: Sequence[Skill], weighted: bool = True) -> Column:
@@ -227,7 +223,7 @@ def resolve_model_route(
     parsed = replies.withColumn(
         "_r",
         F.from_json(
-            clean_reply(F.col(reply)),
+            reply_object(F.col(reply)),
             "primary_skill string, aux_skills array<string>, reason string",
         ),
     )

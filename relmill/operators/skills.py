@@ -33,7 +33,6 @@ SKILL_SCHEMA = (
     ", ".join(f"{c} string" for c in REQUIRED_STRINGS)
     + f", extraction_rules array<string>, keywords array<string>, fewshot {FEWSHOT_TYPE}"
 )
-MAX_DRIVER_SKILLS = 5_000
 
 
 @dataclass(frozen=True)
@@ -57,9 +56,12 @@ class Skill:
     extraction_rules: tuple[str, ...] = field(default=())
 
 
-def registry_of(skills: DataFrame, limit: int = MAX_DRIVER_SKILLS) -> list[Skill]:
-    """Bring a registry (with ``skill_ord``) to the driver; refuses oversized ones."""
-    ordered = skills.orderBy("skill_ord").limit(limit + 1)
+def registry_of(skills: DataFrame) -> list[Skill]:
+    """Bring a registry (with ``skill_ord``) to the driver.
+
+    A registry is what people write by hand, a file a skill; it does not grow with the documents.
+    """
+    ordered = skills.orderBy("skill_ord")
     shaped = ordered.withColumn(
         "fewshot",
         F.transform(
@@ -70,8 +72,6 @@ def registry_of(skills: DataFrame, limit: int = MAX_DRIVER_SKILLS) -> list[Skill
     rows = shaped.collect()
     if not rows:
         raise ValueError("no skills found")
-    if len(rows) > limit:
-        raise ValueError(f"registry has more than {limit} skills; use the table operators")
     return [
         Skill(
             **{c: r[c] or "" for c in REQUIRED_STRINGS},
