@@ -445,9 +445,9 @@ def extraction_rules(spark, sf_dir):
 
 
 def _skill_lines_sql() -> str:
-    rows = [f"({q(s.name)}, {q(P._profile(s))})" for s in SKILLS]
+    rows = [f"({q(s.name)}, {q(P.skill_profile(s))})" for s in SKILLS]
     shots = [
-        f"({q(s.name)}, {i}, {q('### ' + s.name + chr(10) + ('文档片段：' if ex.is_document_level else '文本片段：') + ex.text + chr(10) + '输出示例：' + ex.json)})"
+        f"({q(s.name)}, {i}, {q(s.name + (' 整篇样例 | ' if ex.is_document_level else ' 片段样例 | ') + ex.text + chr(10) + '应答 | ' + ex.json)})"
         for s in SKILLS
         for i, ex in enumerate(s.fewshot)
     ]
@@ -466,9 +466,9 @@ def _skill_lines_sql() -> str:
         """shown AS (SELECT doc_id, string_agg(shown, chr(10) ORDER BY rank) AS examples FROM placed JOIN shots USING (skill, example_ord)
           WHERE (score > 0 AND rank <= 2) OR rank = 1 GROUP BY doc_id)""",
     )
-    + f"""SELECT doc_id, {q(P.PromptTexts().extraction)} || chr(10) || chr(10) || 'skills：' || chr(10) || head || chr(10) || chr(10)
-      || '示例：' || chr(10) || examples || chr(10) || chr(10) || {q(P.PromptTexts().allowed)} || names || chr(10) || rules
-      || chr(10) || chr(10) || '文档：' || chr(10) || text || chr(10) AS prompt
+    + f"""SELECT doc_id, {q(P.PromptTexts().extraction)} || chr(10) || chr(10) || '【可选技能】' || chr(10) || head || chr(10) || chr(10)
+      || '【参考样例】' || chr(10) || examples || chr(10) || chr(10) || {q(P.PromptTexts().allowed)} || names || chr(10) || rules
+      || chr(10) || chr(10) || '【待处理文本】' || chr(10) || text || chr(10) AS prompt
       FROM documents JOIN heads USING (doc_id) JOIN shown USING (doc_id) JOIN rules_text USING (doc_id)""",
 )
 def extraction_prompts(spark, sf_dir):
@@ -479,16 +479,16 @@ def extraction_prompts(spark, sf_dir):
 @query(
     "p4_router_prompts",
     with_ctes(*SCORES, RANKED, NEEDS)
-    + f"""SELECT doc_id, {q(P.PromptTexts().router)} || chr(10) || chr(10) || 'skills：' || chr(10)
-      || string_agg('- ' || skill || ': ' || skill || ' documents 关注重点=' || skill || ' words 关键词加权分数='
+    + f"""SELECT doc_id, {q(P.PromptTexts().router)} || chr(10) || chr(10) || '【可选技能】' || chr(10)
+      || string_agg('* ' || skill || ' ' || skill || ' documents | 关心 ' || skill || ' words | 得分 '
         || regexp_replace(printf('%.2f', score), '\\.?0+$', ''), chr(10) ORDER BY skill_ord)
-      || chr(10) || chr(10) || {q(P.PromptTexts().router_output)} || chr(10) || chr(10) || '文档：' || chr(10)
-      || any_value(text[1:3000]) || chr(10) AS prompt
+      || chr(10) || chr(10) || {q(P.PromptTexts().router_output)} || chr(10) || chr(10) || '【待处理文本】' || chr(10)
+      || any_value(text[1:3000]) || chr(10) AS prompt, any_value(length(text)) > 3000 AS text_cut
     FROM scores JOIN needs USING (doc_id) JOIN documents USING (doc_id)
     WHERE s1 < 3 OR (s2 >= 1 AND s1 - s2 < 1) GROUP BY doc_id""",
 )
 def router_prompts(spark, sf_dir):
-    return P.router_prompts(scored(spark, sf_dir, keep_text=True), SKILLS).select("doc_id", "prompt")
+    return P.router_prompts(scored(spark, sf_dir, keep_text=True), SKILLS).select("doc_id", "prompt", "text_cut")
 
 
 def review_units(spark, sf_dir):
@@ -514,7 +514,7 @@ for _kind in ("proofread", "targeted", "summarize", "refine"):
     query(f"p5_review_prompts_{_kind}")(_review(_kind))
 query(
     "p5_review_prompts_coref",
-    f"SELECT doc_id, {q(P.PromptTexts().coref)} || chr(10) || chr(10) || '文档：' || chr(10) || text AS prompt FROM documents",
+    f"SELECT doc_id, {q(P.PromptTexts().coref)} || chr(10) || chr(10) || '【待处理文本】' || chr(10) || text AS prompt FROM documents",
 )(_review("coref"))
 
 

@@ -100,6 +100,7 @@ CHUNKS = f"""SELECT doc_id, CAST(chunk AS INTEGER) AS chunk_index,
 
 
 def sql_clean_images(x: str) -> str:
+    # fixed values: the image patterns, in the dialect of the twin
     steps = (
         ("(?is)<img\\b[^>]*>", "''"),
         ("!\\[[^\\]\\n]*\\]\\(\\s*(<[^>\\n]*>|[^)\\n]*)\\s*\\)", "''"),

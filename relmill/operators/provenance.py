@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmill.functions.rows import inline, posexplode
-from relmill.functions.text import compact, contains, key_part, let, strip, unique_values
+from relmill.functions.text import compact, contains, key_part, let, strip, text_of, unique_values
 
 MATCH_TYPE = (
     "struct<section_id:string,page:int,global_block_id:int,bbox:array<double>,content:string>"
@@ -63,7 +63,7 @@ def matches_of(head: Column, tail: Column, evidence: Column, sections: Column) -
         return F.flatten(F.transform(sections, of_section))
 
     return let(
-        F.struct(strip(head).alias("h"), strip(tail).alias("t"), compact(evidence).alias("e")), search
+        F.struct(strip(text_of(head)).alias("h"), strip(text_of(tail)).alias("t"), compact(text_of(evidence)).alias("e")), search
     )
 
 

@@ -30,10 +30,10 @@ INLINE_IMAGE = r"!\[[^\]\n]*\]\(" + WS + r"*(?:<[^>\n]*>|[^)\n]*)" + WS + r"*\)"
 REFERENCE_IMAGE = r"!\[[^\]\n]*\]\[[^\]\n]*\]"
 IMAGE_DEFINITION = (
     r"(?imd)^[ \t]*\[[^\]\n]+\]:[ \t]*"
-    r"(?:data:image/[^ \t\n]+|(?:\.{0,2}/)?(?:images?|figures?|assets?)/[^\s]+"
-    r"|attachment:[^\s]+)[^\n]*$"
+    r"(?:data:image/\S+|(?:\.{0,2}/)?(?:images?|figures?|assets?)/\S+|attachment:\S+).*$"
 )
 DATA_URI = r"data:image/[A-Za-z0-9.+-]+;base64,[A-Za-z0-9+/=\r\n]+"
+TRAILING_BLANKS, BLANK_RUN, EMPTY_LINES = r"[ \t]+\n", r"[ \t]{2,}", r"\n{3,}"
 SECTION_MARKER = (
     r"第[一二三四五六七八九十百千万\p{Nd}]+阶段"
     r"|[（(][一二三四五六七八九十百千万\p{Nd}]+[）)]"
@@ -58,9 +58,8 @@ def clean_images(c: Column) -> Column:
     out = text_of(c)
     for pattern in (HTML_IMAGE, INLINE_IMAGE, REFERENCE_IMAGE, IMAGE_DEFINITION, DATA_URI):
         out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, r"[ \t]+\n", "\n")
-    out = F.regexp_replace(out, r"[ \t]{2,}", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+    for pattern, by in ((TRAILING_BLANKS, "\n"), (BLANK_RUN, " "), (EMPTY_LINES, "\n\n")):
+        out = F.regexp_replace(out, pattern, by)
     return strip(out)
 
 

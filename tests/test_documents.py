@@ -26,14 +26,13 @@ def block(label, content, block_id, gid, group, page=None):
 
 def test_two_pages_of_blocks(spark):
     blocks = [
-        block("doc_title", "投资协议书", 0, 0, 0), block("number", "1", 1, 1, 1),
-        block("text", "甲方：宜宾市叙州区人民政府", 2, 2, 2), block("text", "乙方：江苏沃宏装备有限公司", 0, 3, 0),
+        block("text", "River report", 0, 0, 0), block("text", "The gauge reads low.", 1, 1, 1), block("number", "17", 2, 2, 2),
+        block("text", "Rain is due.", 0, 3, 0), block("footer", "page end", 1, 4, 1), block("text", "Boats stay in.", 2, 5, 2),
     ]
-    df = spark.createDataFrame([(1, 2, blocks)], BLOCKS)
-    pages = [r["markdown_text"] for r in O.pages_from_blocks(df).orderBy("page_index").collect()]
-    assert pages == ["投资协议书\n\n甲方：宜宾市叙州区人民政府", "乙方：江苏沃宏装备有限公司"]
-    paragraphs = O.paragraphs_from_blocks(df).orderBy("paragraph_ord").collect()
-    assert (paragraphs[0]["page"], paragraphs[-1]["page"], len(paragraphs)) == (1, 2, 3)
+    df = spark.createDataFrame([(8, 2, blocks)], BLOCKS)
+    pages = {r["page_index"]: r["markdown_text"].split("\n\n") for r in O.pages_from_blocks(df).collect()}
+    assert pages == {1: ["River report", "The gauge reads low."], 2: ["Rain is due.", "Boats stay in."]}
+    assert [r["page"] for r in O.paragraphs_from_blocks(df).orderBy("paragraph_ord").collect()] == [1, 1, 2, 2]
 
 
 def test_page_numbers_follow_a_step_by_step_walk(spark):
@@ -85,10 +84,11 @@ def test_failed_restructuring_falls_back_to_pages(spark):
 
 
 def test_file_kinds(spark):
-    rows = [("pdf", b"%PDF-1.7\n%demo"), ("unknown", b"not a supported file"), ("x.PNG", b""), ("w", b"RIFF1234WEBP")]
+    rows = [("scan", b"%PDF-1.4 and more"), ("photo.PNG", b"whatever"), ("frame", b"RIFF\0\0\0\0WEBPVP8 "), ("note.txt", b"plain words"), ("", b"")]
     known, unknown = S.classify_files(spark.createDataFrame(rows, "filename string, content binary"))
-    assert sorted((r["stored_filename"], r["file_type"]) for r in known.collect()) == [("pdf.pdf", 0), ("w.webp", 1), ("x.PNG", 1)]
-    assert [r["filename"] for r in unknown.collect()] == ["unknown"]
+    kinds = {r["filename"]: (r["stored_filename"], r["file_type"]) for r in known.collect()}
+    assert kinds == {"scan": ("scan.pdf", 0), "photo.PNG": ("photo.PNG", 1), "frame": ("frame.webp", 1)}
+    assert {r["filename"] for r in unknown.collect()} == {"note.txt", ""}
 
 
 def test_samples_keep_their_line_numbers(spark, tmp_path):
@@ -99,22 +99,22 @@ def test_samples_keep_their_line_numbers(spark, tmp_path):
     assert [r["sample_index"] for r in kept] == [0, 2]
 
 
-def skill_row(name, keywords=("关键词1",), json='{"relation_list":[{"head":"A"}]}'):
-    return (name, "d", "f", "h", "t", "r", "n", ["规则1"], list(keywords), [("示例", json, None)])
+def skill_row(name, keywords=("tide",), json='{"relation_list":[{"head":"moon"}]}'):
+    return (name, "about", "focus", "heads", "tails", "style", "limits", ["look twice"], list(keywords), [("the moon pulls", json, None)])
 
 
 def test_registry_create_rename_reject(spark):
-    registry = spark.createDataFrame([skill_row("demo_skill"), skill_row("other")], R.SKILL_SCHEMA)
+    registry = spark.createDataFrame([skill_row("sea"), skill_row("sky")], R.SKILL_SCHEMA)
     rows = [
-        (*skill_row("renamed_skill", ("关键词1", "关键词2")), "update", "demo_skill"),
-        (*skill_row("other"), "create", None),
-        (*skill_row("lost"), "update", "nobody"),
-        (*skill_row("fresh"), "create", None),
+        (*skill_row("ocean", ("tide", "wave", "salt")), "update", "sea"),
+        (*skill_row("sky"), "create", None),
+        (*skill_row("fog"), "update", "mist"),
+        (*skill_row("land"), "create", None),
     ]
     changes = spark.createDataFrame(rows, R.SKILL_SCHEMA + ", action string, target string")
     new, rejected = R.upsert_skills(registry, changes)
-    assert {r["name"]: len(r["keywords"]) for r in new.collect()} == {"renamed_skill": 2, "other": 1, "fresh": 1}
-    assert {r["name"]: r["reason"] for r in rejected.collect()} == {"other": "conflict", "lost": "not found"}
+    assert {r["name"]: len(r["keywords"]) for r in new.collect()} == {"ocean": 3, "sky": 1, "land": 1}
+    assert {r["name"]: r["reason"] for r in rejected.collect()} == {"sky": "conflict", "fog": "not found"}
 
 
 def test_registry_validation(spark):
@@ -169,32 +169,35 @@ def test_provenance_values(spark):
         f"block_ids:array<int>,text:string,paragraphs:array<{paragraph}>>"
     )
     p = lambda c: (None, "markdown", c, None, None)
-    sections = [("1.1", "t", "", 1, 1, [], "Alice joined ACME.\n\nnoise", [p("Alice joined ACME."), p("noise")])]
-    relations = [("Alice", "joined", "ACME", "Alice joined ACME", "s"), ("No", "r", "One", "", "s")]
+    lines = ["The heron eats fish.", "Reeds grow tall."]
+    sections = [("4.2", "birds", "", 1, 1, [], "\n\n".join(lines), [p(x) for x in lines])]
+    relations = [("heron", "eats", "fish", "heron eats fish", "s"), ("owl", "hunts", "mice", "", "s"), (None, "grow", "tall", "Reeds grow", "s")]
     df = spark.createDataFrame(
-        [(1, 0, ["1.1"], [], sections, relations)],
+        [(1, 0, ["4.2"], [], sections, relations)],
         f"doc_id long, batch_index int, section_ids array<string>, block_ids array<int>, sections array<{section}>, "
         "relations array<struct<head:string,relation:string,tail:string,evidence:string,skill:string>>",
     )
-    hit, miss = V.attach_sources(df).orderBy("relation_ord").collect()
-    assert (hit["source_sections"], hit["source_pages"], len(hit["source_paragraphs"])) == (["1.1"], [], 1)
-    assert (miss["source_sections"], miss["source_pages"], len(miss["source_paragraphs"])) == (["1.1"], [1], 0)
+    hit, miss, headless = V.attach_sources(df).orderBy("relation_ord").collect()
+    found = [[m["content"] for m in r["source_paragraphs"]] for r in (hit, miss, headless)]
+    assert found == [lines[:1], [], lines]  # an empty head is in every paragraph
+    assert {tuple(r["source_sections"]) for r in (hit, miss, headless)} == {("4.2",)}
+    assert (hit["source_pages"], miss["source_pages"]) == ([], [1])
     twice = V.attach_sources(df.union(df.withColumn("batch_index", F.lit(1))))
-    assert V.dedup_document(twice.drop("batch_index")).count() == 2
+    assert V.dedup_document(twice.drop("batch_index")).count() == 3
 
 
 def test_aliases_longest_first(spark):
-    reply = '{"第3机械化步兵营": ["该营", "第3营", "x"], "A高地": "该高地", "B": ["bb"]}'
-    df = spark.createDataFrame([(1, "该营与第3营。" * 3, reply)], "doc_id long, text string, reply string")
+    reply = 'Names: {"Grey Heron Ltd": ["heron", "the heron", "h"], "Lake": "water", "P": ["pp"]} and no more'
+    df = spark.createDataFrame([(1, "the heron sells. heron buys. " * 3, reply)], "doc_id long, text string, reply string")
     row = apply_aliases(df, 5).first()
-    assert (row["text"], row["coref_groups"]) == ("第3机械化步兵营与第3机械化步兵营。" * 3, 1)
+    assert (row["text"], row["coref_groups"]) == ("Grey Heron Ltd sells. Grey Heron Ltd buys. " * 3, 1)
 
 
 def test_prompts_hold_their_parts(spark):
     skills = [R.Skill("a", ("alpha",), focus="F", fewshot=(R.Example("alpha t", "{}", False),), extraction_rules=("own",))]
     df = spark.createDataFrame([(1, "alpha text", ["a"])], "doc_id long, chunk_text string, selected_skills array<string>")
     prompt = PR.extraction_prompts(df, skills).first()["prompt"]
-    for part in ("- a: 关注=F", "### a\n文本片段：alpha t\n输出示例：{}", ". own\n", "文档：\nalpha text\n"):
+    for part in ("* a | 关心 F |", "a 片段样例 | alpha t\n应答 | {}", ". own\n", "【待处理文本】\nalpha text\n"):
         assert part in prompt
 
 

@@ -33,13 +33,10 @@ def tokens(text):
 
 
 def test_image_markup(spark):
-    dirty = (
-        "甲方签署协议。\n\n![扫描件](data:image/png;base64,AAAA)\n\n"
-        '<img src="attachment:image-1.png" alt="scan" />\n\n![流程图][flow]\n\n'
-        "[flow]: images/flow.png\n\n乙方负责交付。"
-    )
+    marks = ["![map](maps/a.png)", "<IMG alt='x' src=b.gif>", "![see][fig]", "[fig]: figures/one.svg", "data:image/gif;base64,R0lGOD"]
+    dirty = "".join(f"line {i}  ends\t\n\n{m}\n\n" for i, m in enumerate(marks))
     row = T.strip_image_markup(docs(spark, [dirty])).first()
-    assert row["text"] == "甲方签署协议。\n\n乙方负责交付。"
+    assert row["text"].split("\n\n") == [f"line {i} ends" for i in range(len(marks))]
 
 
 def test_token_counts(spark):
@@ -53,10 +50,13 @@ def test_token_counts(spark):
 def test_sentences_match_a_python_split(spark):
     texts = random_texts(2, 600, "甲乙。！?. \n\u3000a", 25)
     got = pieces(T.split_sentences(docs(spark, texts)), "sentence_ord", "sentence")
-    pattern = r"(?<=[。！？!?])\s+|(?<=[。！？!?])|(?<=\.)\s+\n*|\n+"
     for i, text in enumerate(texts):
-        want = [p.strip() for p in re.split(pattern, text) if p.strip()] or [text]
-        assert got[i] == want, repr(text)
+        marked = ""
+        for at, ch in enumerate(text):
+            ends = ch in "。！？!?" or (ch == "." and text[at + 1 : at + 2].isspace())
+            marked += ch + "\n" * ends
+        want = [line.strip() for line in marked.split("\n") if line.strip()]
+        assert got[i] == (want or [text]), repr(text)
 
 
 def test_outline_starts(spark):
@@ -90,53 +90,52 @@ def test_token_chunks(spark):
             assert len(group) == 1 or sum(tokens(us[k]) for k in group) <= 8
 
 
-def cut_paragraphs(text, limit):
-    out, cur = [], ""
-    for par in [p.strip() for p in re.split(r"\n{2,}", text) if p.strip()]:
-        if cur and len(cur) + 2 + len(par) > limit:
-            out.append(cur)
-            cur = par
-        else:
-            cur = cur + "\n\n" + par if cur else par
-        while len(cur) > limit:
-            out.append(cur[:limit].strip())
-            cur = cur[limit:].strip()
-    return out + [cur] if cur else out
+def paragraphs(text):
+    return [p.strip() for p in re.split(r"\n\n+", text) if p.strip()]
 
 
-def test_long_text_and_page_chunks(spark):
-    texts = [t for t in random_texts(4, 300, "ab c\n\n\n甲", 80) if t.strip()]
-    got = pieces(T.split_long_text(docs(spark, texts), 9), "piece_ord", "piece")
+def test_long_text(spark):
+    limit = 9
+    texts = [t for t in random_texts(4, 400, "ab c\n\n\n甲", 80) if t.strip()]
+    got = pieces(T.split_long_text(docs(spark, texts), limit), "piece_ord", "piece")
     for i, text in enumerate(texts):
-        assert got[i] == cut_paragraphs(text, 9), repr(text)
+        assert all(p == p.strip() != "" and len(p) <= limit for p in got[i]), repr(text)
+        assert re.sub(r"\s", "", "".join(got[i])) == re.sub(r"\s", "", text)
+        parts = paragraphs(text)
+        if max(map(len, parts)) <= limit:
+            # a separator of two characters belongs to every paragraph, and one to spare in the limit
+            groups = pack([len(p) + 2 for p in parts], limit + 2)
+            assert got[i] == ["\n\n".join(parts[k] for k in g) for g in groups], repr(text)
+
+
+def test_page_chunks(spark):
+    limit = 30
+    texts = [t for t in random_texts(4, 300, "ab c\n\n\n甲", 80) if t.strip()]
+    cut = pieces(T.split_long_text(docs(spark, texts), limit), "piece_ord", "piece")
     rng = random.Random(5)
-    books = [[(p + 1, rng.choice(texts)) for p in range(rng.randint(0, 7))] for _ in range(120)]
+    books = [[(p + 1, rng.randrange(len(texts))) for p in range(rng.randint(0, 7))] for _ in range(120)]
     df = spark.createDataFrame(
-        list(enumerate(books)), "doc_id long, pages array<struct<page_index:int,text:string>>"
+        [(i, [(p, texts[t]) for p, t in book]) for i, book in enumerate(books)], "doc_id long, pages array<struct<page_index:int,text:string>>"
     )
     chunks = {}
-    for r in T.chunk_by_chars(df, 30).collect():
-        chunks.setdefault(r["doc_id"], {})[r["chunk_id"]] = (r["text"], r["page_start"], r["page_end"])
+    for r in T.chunk_by_chars(df, limit).orderBy("doc_id", F.length("chunk_id"), "chunk_id").collect():
+        chunks.setdefault(r["doc_id"], []).append((r["text"], r["page_start"], r["page_end"]))
     for i, book in enumerate(books):
-        want, cur = [], None
-        for page, text in book:
-            text = text.strip()
-            if not text:
-                continue
-            if len(text) > 30:
-                if cur:
-                    want.append(cur)
-                cur = None
-                want += [(p, page, page) for p in cut_paragraphs(text, 30)]
-            elif cur and len(cur[0]) + 2 + len(text) <= 30:
-                cur = (cur[0] + "\n\n" + text, cur[1], page)
+        want, run = [], []
+
+        def close():
+            for g in pack([len(t) + 2 for _, t in run], limit + 2):
+                want.append(("\n\n".join(run[k][1] for k in g), run[g[0]][0], run[g[-1]][0]))
+            run.clear()
+
+        for page, t in book:
+            if len(texts[t].strip()) <= limit:
+                run.append((page, texts[t].strip()))
             else:
-                if cur:
-                    want.append(cur)
-                cur = (text, page, page)
-        if cur:
-            want.append(cur)
-        assert chunks.get(i, {}) == {f"chunk-{k + 1}": c for k, c in enumerate(want)}
+                close()
+                want += [(p, page, page) for p in cut[t]]
+        close()
+        assert chunks.get(i, []) == want
 
 
 def test_hard_split(spark):
@@ -159,6 +158,6 @@ def test_profile(spark):
 
 
 def test_file_names(spark):
-    names = ["战报文档.pdf", "C:\\fakepath\\战报文档.pdf", "a/b:c\x01.", "..", ""]
-    df = spark.createDataFrame([(n,) for n in names], "n string").select(safe_filename(F.col("n")).alias("s"))
-    assert [r["s"] for r in df.collect()] == ["战报文档.pdf", "战报文档.pdf", "b_c_", "upload", "upload"]
+    names = {"plan.txt": "plan.txt", "up/../down/map.png": "map.png", "D:\\x\\y.doc": "y.doc", "c:d\x02e.md": "c_d_e.md", "tab\there": "tab_here", "...": "upload", "  ": "upload"}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", safe_filename(F.col("n")).alias("s"))
+    assert {r["n"]: r["s"] for r in df.collect()} == names
