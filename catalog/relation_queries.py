@@ -294,12 +294,67 @@ def fuzzy_pairs(spark, sf_dir):
     return Z.fuzzy_pairs(relation_rows(spark, sf_dir))
 
 
-@query("m11_merge_fuzzy")
+def _fold(source: str) -> tuple[str, ...]:
+    """The merge as a recursion: step n takes the n-th row of every block into the list of survivors.
+
+    A survivor has its key (kh, kt) and its place in the search order; both are null once
+    another survivor has taken the key over.
+    """
+    fields = ("at", "head", "relation", "tail", "evidence", "skill", "kh", "kt", "place")
+    struct = lambda values: "{" + ", ".join(f"'{f}': {v}" for f, v in zip(fields, values)) + "}"
+    own = struct(["x.relation_ord", "x.head", "x.relation", "x.tail", "x.evidence", "x.skill", "x.kh", "x.kt", "x.n"])
+    changed = struct(["s.at", "nh", "s.relation", "nt", "ne", "s.skill", "rh", "rt", "rp"])
+    keyless = struct([*(f"s.{f}" for f in fields[:6]), "NULL", "NULL", "NULL"])
+    place = lambda test: f"list_min(list_transform(list_filter(f.kept, lambda s: {test}), lambda s: s.place))"
+    near = f"s.place IS NOT NULL AND {_similar('s.kh', 'x.kh')} AND {_similar('s.kt', 'x.kt')}"
+    return (
+        f"""seq AS (SELECT doc_id, kr, ks, relation_ord, head, relation, tail, {sql_strip('evidence')} AS evidence, skill, kh, kt,
+          CAST(row_number() OVER (PARTITION BY doc_id, kr, ks ORDER BY relation_ord) AS INTEGER) AS n FROM {source})""",
+        f"""fold AS (
+          SELECT doc_id, kr, ks, n, [{own}] AS kept FROM seq x WHERE n = 1
+          UNION ALL
+          SELECT doc_id, kr, ks, n, CASE WHEN p IS NULL THEN list_append(kept, own) ELSE list_transform(kept, lambda s:
+            CASE WHEN s.place = p THEN {changed} WHEN s.kh = rh AND s.kt = rt THEN {keyless} ELSE s END) END
+          FROM (SELECT *, CASE WHEN moved THEN nh ELSE old.kh END AS rh, CASE WHEN moved THEN nt ELSE old.kt END AS rt,
+              CASE WHEN moved THEN coalesce(list_min(list_transform(list_filter(kept, lambda s: s.kh = nh AND s.kt = nt),
+                lambda s: s.place)), n) ELSE old.place END AS rp
+            FROM (SELECT *, NOT exact AND (nh <> old.kh OR nt <> old.kt) AS moved
+              FROM (SELECT *, CASE WHEN NOT exact AND length(own.kh) > length(old.kh) THEN own.kh ELSE old.head END AS nh,
+                  CASE WHEN NOT exact AND length(own.kt) > length(old.kt) THEN own.kt ELSE old.tail END AS nt,
+                  CASE WHEN own.evidence <> '' AND (coalesce(old.evidence, '') = '' OR length(own.evidence) < length(old.evidence))
+                    THEN own.evidence ELSE old.evidence END AS ne
+                FROM (SELECT *, coalesce(old.kh = own.kh AND old.kt = own.kt, false) AS exact
+                  FROM (SELECT *, list_filter(kept, lambda s: s.place = p)[1] AS old
+                    FROM (SELECT f.doc_id, f.kr, f.ks, x.n, f.kept, {own} AS own,
+                        coalesce({place('s.kh = x.kh AND s.kt = x.kt')}, {place(near)}) AS p
+                      FROM fold f JOIN seq x ON x.doc_id = f.doc_id AND x.kr = f.kr AND x.ks = f.ks AND x.n = f.n + 1)))))))""",
+        """survivors AS (SELECT doc_id, unnest(kept) AS s FROM (
+          SELECT doc_id, arg_max(kept, n) AS kept FROM fold GROUP BY doc_id, kr, ks))""",
+    )
+
+
+SURVIVORS = """SELECT doc_id, CAST(s.at AS INTEGER) AS relation_ord, s.head AS head, s.relation AS relation, s.tail AS tail,
+  s.evidence AS evidence, s.skill AS skill FROM survivors"""
+
+
+@query("m11_merge_fuzzy", with_ctes(RELATIONS, KEYED, *_fold("keyed")) + SURVIVORS)
 def merge_fuzzy(spark, sf_dir):
     return Z.merge_fuzzy(relation_rows(spark, sf_dir))
 
 
-@query("m12_merge_relations")
+@query(
+    "m12_merge_relations",
+    with_ctes(
+        *CLEAN,
+        f"judged AS (SELECT *, {REASON} AS reason FROM cleaned)",
+        f"passed AS (SELECT * REPLACE ({REPLACED} AS relation) FROM judged WHERE reason IS NULL)",
+        *_support("passed"),
+        "clean AS (SELECT doc_id, relation_ord, head, relation, tail, best AS evidence, skill FROM evidenced WHERE cited OR unit IS NOT NULL)",
+        KEYED.replace("keyed AS", "clean_keys AS").replace("FROM rel ", "FROM clean "),
+        *_fold("clean_keys"),
+    )
+    + SURVIVORS.replace("AS relation_ord,", "AS relation_ord, 0 AS part_ord,"),
+)
 def merge_relations(spark, sf_dir):
     return Z.merge_relations(relation_rows(spark, sf_dir, witness=True), skills=LANGS)
 
