@@ -99,6 +99,15 @@ def test_samples_keep_their_line_numbers(spark, tmp_path):
     assert [r["sample_index"] for r in kept] == [0, 2]
 
 
+def test_broken_sample_lines(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.jsonl").write_text('{"sample_id":"a","output":"x"}\n' * (k + 1) + '{"sample_id": broken\n[1]\n{"sample_id":"z","output":"y"}\n')
+    rows = S.scan_samples(spark, str(tmp_path)).collect()
+    bad = S.bad_samples(spark, str(tmp_path)).collect()
+    assert sorted(r["sample_index"] for r in rows) == [0, 3, 4, 5, 8, 9, 10, 11, 14]
+    assert {r["sample_index"]: r["line"] for r in bad if "broken" in r["line"]} == {i: '{"sample_id": broken' for i in (1, 6, 12)}
+
+
 def skill_row(name, keywords=("tide",), json='{"relation_list":[{"head":"moon"}]}'):
     return (name, "about", "focus", "heads", "tails", "style", "limits", ["look twice"], list(keywords), [("the moon pulls", json, None)])
 
