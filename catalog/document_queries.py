@@ -477,7 +477,7 @@ def extract_corpus(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     skills, config = lexicon_skills(), RunConfig(chunk_trigger=200, chunk_budget=100)
     prepared = corpus.prepare(docs, skills, config)
-    relations, _ = corpus.finish(docs, prepared.chunks, recorded_replies(prepared.chunks), skills, config)
+    relations, _ = corpus.finish(prepared.documents, prepared.chunks, recorded_replies(prepared.chunks), skills, config)
     return relations
 
 

@@ -262,3 +262,14 @@ def test_whole_run(spark):
     replies = prepared.chunks.select("prompt_id", F.lit(reply).alias("reply"))
     got = corpus.extract_corpus(docs, replies, SKILLS, config).collect()
     assert sorted((r["doc_id"], r["head"], r["tail"]) for r in got) == [(1, "alpha", "beta"), (2, "alpha", "beta")]
+
+
+def test_run_is_grounded_in_rewritten_text(spark):
+    docs = spark.createDataFrame([(1, "the bird eats fish. the bird naps. " * 3)], "doc_id long, text string")
+    coref = spark.createDataFrame([(1, '{"Grey Heron": ["the bird"]}')], "doc_id long, reply string")
+    config = RunConfig(chunk_trigger=12, chunk_budget=8, fast_mode=True)
+    prepared = corpus.prepare(docs, SKILLS, config, coref_replies=coref)
+    reply = '{"relation_list":[{"head":"Grey Heron","relation":"eats","tail":"fish","evidence":"","skill":"a"}]}'
+    replies = prepared.chunks.select("prompt_id", F.lit(reply).alias("reply"))
+    got = corpus.extract_corpus(docs, replies, SKILLS, config, coref_replies=coref).collect()
+    assert [r["head"] for r in got] == ["Grey Heron"] and got[0]["evidence"].startswith("Grey Heron")
