@@ -494,7 +494,7 @@ def router_prompts(spark, sf_dir):
 def review_units(spark, sf_dir):
     docs = G.select_skills(scored(spark, sf_dir, keep_text=True))
     item = F.struct(
-        F.substring("text", 1, 5).alias("head"), F.lit("r").alias("relation"),
+        F.concat(F.lit("h"), F.col("doc_id")).alias("head"), F.lit("r").alias("relation"),
         F.element_at("selected_skills", 1).alias("skill"),
     )
     relations = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<struct<head:string,relation:string,skill:string>>")).otherwise(F.array(item))
@@ -510,8 +510,39 @@ def _review(kind: str):
     return run
 
 
+def _review_sql(kind: str) -> str:
+    """The prompt as text: what the JSON writer prints for the candidates is spelled out."""
+    texts, nl = P.PromptTexts(), "chr(10)"
+    lines = [f"({q(s.name)}, {q(f'* {s.name} | 关心 {s.focus} | 关系词 {s.relation_style} | 排除 {s.negative_scope}')})" for s in SKILLS]
+
+    def item(indent: str) -> str:
+        field = lambda name, value, end: f"'{indent}  \"{name}\" : \"' || {value} || '\"{end}' || {nl}"
+        return (
+            f"CASE WHEN doc_id % 5 = 0 THEN '[ ]' ELSE '[ {{' || {nl} || {field('head', chr(39) + 'h' + chr(39) + ' || doc_id', ',')} "
+            f"|| {field('relation', chr(39) + 'r' + chr(39), ',')} || {field('skill', 'first', '')} || '{indent}}} ]' END"
+        )
+
+    if kind == "summarize":
+        chunk = lambda i: f"'{{' || {nl} || '  \"chunk_index\" : {i},' || {nl} || '  \"relation_list\" : ' || {item('  ')} || {nl} || '}}'"
+        candidates, usable = f"'[ ' || {chunk(0)} || ', ' || {chunk(1)} || ' ]'", "doc_id % 3 <> 0"
+    else:
+        candidates = f"'{{' || {nl} || '  \"relation_list\" : ' || {item('  ')} || {nl} || '}}'"
+        usable = "doc_id % 5 <> 0"
+    return (
+        with_ctes(
+            *SCORES, RANKED, SELECTED,
+            f"focus AS (SELECT * FROM (VALUES {', '.join(lines)}) t(skill, line))",
+            f"""about AS (SELECT doc_id, string_agg(line, {nl} ORDER BY pos) AS about, string_agg(skill, ', ' ORDER BY pos) AS names,
+              arg_min(skill, pos) AS first FROM picked JOIN focus USING (skill) GROUP BY doc_id)""",
+        )
+        + f"""SELECT doc_id, {q(getattr(texts, kind))} || {nl} || {nl} || '【可选技能】' || {nl} || about || {nl} || {nl} || {q(texts.allowed)}
+          || names || {nl} || {q(texts.shape)} || {nl} || {nl} || '【待处理文本】' || {nl} || text || {nl} || {nl} || '【已有结果】' || {nl}
+          || {candidates} || {nl} AS prompt FROM documents JOIN about USING (doc_id) WHERE {usable}"""
+    )
+
+
 for _kind in ("proofread", "targeted", "summarize", "refine"):
-    query(f"p5_review_prompts_{_kind}")(_review(_kind))
+    query(f"p5_review_prompts_{_kind}", _review_sql(_kind))(_review(_kind))
 query(
     "p5_review_prompts_coref",
     f"SELECT doc_id, {q(P.PromptTexts().coref)} || chr(10) || chr(10) || '【待处理文本】' || chr(10) || text AS prompt FROM documents",
