@@ -36,6 +36,7 @@ from relmill.operators import rollups as U
 from relmill.operators import routing as G
 from relmill.operators import skills as R
 from relmill.operators import text as T
+from relmill.operators.responses import RELATION_TYPE
 from relmill.plans import corpus
 from relmill.sources import scans as S
 from relmill.sources import sinks as K
@@ -778,9 +779,21 @@ def rejected_changes(spark, sf_dir):
     return _upserted(spark, sf_dir)[1].select("name", "target", "reason")
 
 
-@query("k5_export_document_json")
+@query(
+    "k5_export_document_json",
+    with_ctes(RELATIONS)
+    + """SELECT doc_id AS task_id, sha256(' ' || chr(10) || text || ' ') AS text_sha256, false AS has_private,
+      CAST(relation_ord AS INTEGER) AS relation_ord, head, relation, tail, evidence, skill
+      FROM documents LEFT JOIN (SELECT * FROM rel WHERE doc_id % 4 <> 0) USING (doc_id)""",
+)
 def export_document_json(spark, sf_dir):
-    return K.export_document_json(task_results(spark, sf_dir))
+    """The exported JSON, read back field by field."""
+    shape = f"document_text string, paragraphs array<{RELATION_TYPE}>, _pages_res string"
+    read = K.export_document_json(task_results(spark, sf_dir)).select("task_id", F.from_json("json", shape).alias("j"))
+    return read.select(
+        "task_id", F.sha2("j.document_text", 256).alias("text_sha256"), F.col("j._pages_res").isNotNull().alias("has_private"),
+        F.posexplode_outer("j.paragraphs").alias("relation_ord", "r"),
+    ).select("task_id", "text_sha256", "has_private", "relation_ord", "r.*")
 
 
 # ---- tasks --------------------------------------------------------------------------------------
