@@ -713,25 +713,43 @@ def result_artifacts(spark, sf_dir):
     )
 
 
-@query("k1_write_results", with_ctes(NATION_SKILLS) + "SELECT name AS task_id, description AS value FROM nat")
+@query(
+    "k1_write_results",
+    with_ctes(NATION_SKILLS)
+    + """SELECT name AS task_id, unnest(['document_text', 'ocr_paragraphs', 'result_json']) AS artefact,
+      unnest([description || chr(10) || name || chr(10), '1 ' || name, description || chr(10) || name]) AS value FROM nat""",
+)
 def write_results(spark, sf_dir):
+    """All three artefacts, read back."""
     path = work_dir(spark)
     nations = nation_skills(spark, sf_dir).select(
-        F.col("name").alias("task_id"), F.col("description").alias("document_text"), F.col("fewshot").alias("paragraphs")
+        F.col("name").alias("task_id"), F.concat_ws("\n", "description", "name").alias("document_text"), F.col("fewshot").alias("paragraphs")
     )
     paths = K.write_results(nations, path)
-    return spark.read.text(paths["document_text_md"]).select("task_id", "value")
+    value = F.col("value")
+    read = {
+        "document_text": (paths["document_text_md"], value),
+        "ocr_paragraphs": (paths["ocr_paragraphs_json"], F.concat_ws(" ", F.json_array_length(value), F.get_json_object(value, "$[0].text"))),
+        "result_json": (paths["result_json"], F.get_json_object(value, "$.document_text")),
+    }
+    parts = [
+        spark.read.text(folder, wholetext=True).select("task_id", F.lit(name).alias("artefact"), shown.alias("value"))
+        for name, (folder, shown) in read.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
     "k2_write_run_report",
     with_ctes(RELATIONS, RUN)
-    + """SELECT 'vllm' AS backend, 'm' AS model, count(*) AS sample_count, round(sum(sample_wall_seconds), 4) AS total_wall_seconds FROM run""",
+    + """SELECT 'vllm' AS backend, 'm' AS model, count(*) AS sample_count, round(sum(sample_wall_seconds), 4) AS total_wall_seconds,
+      count(*) AS result_rows FROM run""",
 )
 def write_run_report(spark, sf_dir):
     summary = run_summary(spark, sf_dir)
     paths = K.write_run_report(summary, summary, work_dir(spark), "vllm", "m")
-    return spark.read.schema("backend string, model string, sample_count long, total_wall_seconds double").json(paths["meta"])
+    meta = spark.read.schema("backend string, model string, sample_count long, total_wall_seconds double").json(paths["meta"])
+    return meta.withColumn("result_rows", F.lit(spark.read.json(paths["results"]).count()).cast("long"))
 
 
 @query("k3_write_route_cache", with_ctes(ROUTE_LOG) + LATEST_ROUTES)
