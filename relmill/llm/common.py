@@ -74,19 +74,17 @@ def held_out(doc_id: Column) -> Column:
 class WordCodes(dict):
     """A bounded cache from word to number, filled by ``code`` on a miss.
 
-    Lookups run at the speed of a dict; the cache is emptied when it is full, so that a
-    worker's memory does not grow with the vocabulary.
+    Lookups run at the speed of a dict. A full cache takes no more words: those that came
+    first hold the frequent ones, and a worker's memory does not grow with the vocabulary.
     """
 
-    def __init__(self, code: Callable[[str], int], limit: int = 300_000) -> None:
+    def __init__(self, code: Callable[[str], int], limit: int = 120_000) -> None:
         super().__init__()
         self.code, self.limit = code, limit
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
         value = self.code(word)
-        if len(word) <= 100:
+        if len(word) <= 100 and len(self) < self.limit:
             self[word] = value
         return value
 
