@@ -96,7 +96,10 @@ def _slide_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.ndarray, ...]]:
-    """Runs of starts with one sample place, as arrays: bucket, two hashes of the content, first start, last start, place."""
+    """Runs of starts with one sample place, as arrays: bucket, hash of the content, first start, last start, place.
+
+    Bucket and hash are 64 bits each, from different bytes: together they name the content.
+    """
     out = []
     for base in range(0, max(0, len(raw) - length + 1), CHUNK):
         part = raw[base : base + CHUNK + length - 1]
@@ -111,8 +114,8 @@ def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> list[tuple[np.nd
         low, high = np.r_[0, cut], np.r_[cut - 1, len(least) - 1]
         low, high, place = _split_places(grams, least, low, high, width)
         size = (high - low + 1).astype(np.uint64)
-        first, second = (hashes.of(low, high + length, k) ^ size * _MIX for k in (0, 1))
-        out.append((grams[place].view(np.int64), first.view(np.int64), second.view(np.int64), low + base, high + base, place + base))
+        content = hashes.of(low, high + length, 1) ^ size * _MIX
+        out.append((grams[place].view(np.int64), content.view(np.int64), low + base, high + base, place + base))
     return out
 
 
@@ -146,8 +149,8 @@ def _split_places(grams: np.ndarray, least: np.ndarray, low: np.ndarray, high: n
     return np.concatenate(lows), np.concatenate(highs), np.concatenate(places)
 
 
-_RUNS = "_row long, bucket long, c1 long, c2 long, low long, high long, place long"
-_RUNS_ARROW = pa.schema([(n, pa.int64()) for n in ("_row", "bucket", "c1", "c2", "low", "high", "place")])
+_RUNS = "_row long, bucket long, content long, low long, high long, place long"
+_RUNS_ARROW = pa.schema([(n, pa.int64()) for n in ("_row", "bucket", "content", "low", "high", "place")])
 
 
 def _run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -203,26 +206,29 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cel
     if not 1 < cell <= gram < length:
         raise ValueError("1 < cell <= gram < length must hold")
     all_runs = stored(_run_rows(rows, length, gram))
-    same = ["bucket", "c1", "c2"]
+    # a bucket matters if it has several runs; the others, most of them, go no further
+    shared = all_runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    live = stored(all_runs.join(shared, "bucket", "left_semi"))
+    same = ["bucket", "content"]
     where = F.struct("_row", "low", "high", "place")
-    classes = stored(all_runs.groupBy(*same).agg(F.count("*").alias("n"), F.min(where).alias("at")))
-    # a bucket matters if it has several runs; its classes must be compared if they are several
+    classes = stored(live.groupBy(*same).agg(F.count("*").alias("n"), F.min(where).alias("at")))
+    # its classes must be compared if they are several
     buckets = classes.groupBy("bucket").agg(F.count("*").alias("kinds"))
-    whole = all_runs.join(classes.where("n > 1").select(*same), same, "left_semi").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    whole = live.join(classes.where("n > 1").select(*same), same, "left_semi").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
 
     open_ = classes.join(buckets.where("kinds > 1").select("bucket"), "bucket", "left_semi")
     asked = open_.select("at.*").groupBy("_row").agg(F.collect_list(F.struct("low", "high", "place")).alias("asked"))
     made = stored(_cell_rows(rows.join(asked, "_row"), length, cell))
     # runs that were settled above stand here once; the classes' counts tell that they repeat anyway
-    shared = made.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r1", "r2")
-    live = made.join(shared, ["r1", "r2"], "left_semi")
     flank = ["r1", "r2", "first", "last", "head", "tail"]
-    kinds = stored(live.groupBy(*flank).agg(F.count("*").alias("n"), F.min(F.struct("_row", "start")).alias("at")))
-    equal = live.join(kinds.where("n > 1").select(*flank), flank, "left_semi").select(
+    kinds = stored(made.groupBy(*flank).agg(F.count("*").alias("n"), F.min(F.struct("_row", "start")).alias("at")))
+    equal = made.join(kinds.where("n > 1").select(*flank), flank, "left_semi").select(
         "_row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("end")
     )
+    # only where a core stands between different bytes are its suffixes told apart
+    mixed = kinds.groupBy("r1", "r2").agg(F.count("*").alias("k")).where("k > 1").select("r1", "r2")
     offset = F.explode(F.sequence("first", "last")).alias("t")
-    suffixes = kinds.select("r1", "r2", "n", "at", "first", "head", "tail", offset).select(
+    suffixes = kinds.join(mixed, ["r1", "r2"], "left_semi").select("r1", "r2", "n", "at", "first", "head", "tail", offset).select(
         "r1", "r2", "n", "at", "t",
         F.expr("substring(head, t - first + 1)").alias("before"), F.expr("substring(tail, 1, t)").alias("behind"),
     )

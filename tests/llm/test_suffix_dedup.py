@@ -76,10 +76,10 @@ def test_every_start_is_in_one_run():
     rng = np.random.default_rng(5)
     for text in (b"abc" * 50, b"a" * 200, bytes(rng.integers(0, 3, 500, dtype=np.uint8)), b"ab", b""):
         parts = sd.runs(text, 24, 9)
-        starts = [i for p in parts for a, b in zip(p[3], p[4]) for i in range(a, b + 1)]
+        starts = [i for p in parts for a, b in zip(p[2], p[3]) for i in range(a, b + 1)]
         assert starts == list(range(max(0, len(text) - 23)))
         for p in parts:
-            for a, b, at in zip(p[3], p[4], p[5]):
+            for a, b, at in zip(p[2], p[3], p[4]):
                 assert b <= at < a + 16
 
 
