@@ -207,7 +207,8 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cel
         raise ValueError("1 < cell <= gram < length must hold")
     all_runs = stored(_run_rows(rows, length, gram))
     # a bucket matters if it has several runs; the others, most of them, go no further
-    shared = all_runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    # written first, so that the join below has shuffles of its own, whose hot partitions Spark can split
+    shared = stored(all_runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     live = stored(all_runs.join(shared, "bucket", "left_semi"))
     same = ["bucket", "content"]
     where = F.struct("_row", "low", "high", "place")
