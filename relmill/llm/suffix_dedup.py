@@ -202,7 +202,7 @@ def _cell_rows(texts: DataFrame, length: int, cell: int) -> DataFrame:
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """(_row, start, end): byte ranges of ``rows`` (_row, text) that repeated strings cover; they may overlap."""
+    """(_row, start, end): byte ranges of ``rows`` (_row, text), a stored table, that repeated strings cover; they may overlap."""
     if not 1 < cell <= gram < length:
         raise ValueError("1 < cell <= gram < length must hold")
     all_runs = stored(_run_rows(rows, length, gram))
@@ -258,9 +258,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
     Texts count as UTF-8 bytes, null as empty; strings don't cross texts. ``kept`` is what
     remains (it may cut a character); ``n_spans`` counts maximal removed runs. Rows that
     repeat are copies of each other and go whole if they have ``length`` bytes. Ids may
-    repeat or be null. The operator reads ``docs`` three times, so pass a stored table.
+    repeat or be null. ``docs`` is read once and written with its row numbers, which three jobs share.
     """
-    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = stored(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
     ranges = repeated_ranges(rows, length, gram, cell)
     lists = ranges.groupBy("_row").agg(F.collect_list("start").alias("_a"), F.collect_list("end").alias("_b"))
     told = rows.join(lists, "_row", "left").select("doc_id", F.struct("text", "_a", "_b").alias("_t"))

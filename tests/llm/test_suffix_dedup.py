@@ -98,3 +98,26 @@ def test_query(spark, sf):
         n, removed, spans, kept = want.pop(r.doc_id)
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
     assert not want
+
+
+def test_split_of_the_scan_may_change_between_jobs(spark, tmp_path, monkeypatch):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choices("etaoin shrdlu", k=n))
+    p = word(600)
+    texts = [word(700) if i % 3 else word(50) + p + word(i) for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(6).write.parquet(f"{tmp_path}/docs")
+    name = "spark.sql.files.openCostInBytes"
+    was, store, sizes = spark.conf.get(name), sd.stored, iter([1 << 30, 1, 1 << 22] * 20)
+
+    def resplit(df):
+        out = store(df)
+        spark.conf.set(name, str(next(sizes)))
+        return out
+
+    monkeypatch.setattr(sd, "stored", resplit)
+    try:
+        df = spark.read.parquet(f"{tmp_path}/docs")
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(df).collect()}
+    finally:
+        spark.conf.set(name, was)
+    assert [got[i] for i in range(len(texts))] == plain(texts, 400)
