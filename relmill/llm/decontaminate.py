@@ -3,9 +3,9 @@
 Texts become templates: numbers, units and names turn into typed placeholders. Windows of
 ``WINDOW`` template words of all documents are joined with those of the benchmark by hash.
 Matches that lie on one diagonal (same distance between both positions) form an
-alignment; in it every benchmark value must go with one document value and the other way
-round, else the alignment is chance and is dropped. A document contains an item if the
-remaining alignments cover ``COVERAGE`` of the item's windows.
+alignment. Windows that are equal as written always count; the others count if each of
+their benchmark values goes to one document value in the whole alignment. A document
+contains an item if the counted windows cover ``COVERAGE`` of the item's windows.
 
 Only windows that may be the benchmark's leave the scan: a bitmap of fixed size, made from
 the benchmark's windows, passes all of these and few others; the join then decides.
@@ -153,18 +153,19 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float
         "hash", F.col("_row").alias("_item"), F.col("id").alias("item_id"), F.col("pos").alias("_ipos"), F.col("slots").alias("_islots"), F.col("n").alias("n_windows")
     )
     pairs = hits.select("_row", F.col("id").alias("doc_id"), "hash", "pos", "slots").join(right, "hash")
+    zipped = F.arrays_zip(F.col("_islots").alias("i"), F.col("slots").alias("d"))
     line = pairs.groupBy("_row", "doc_id", "_item", "item_id", "n_windows", (F.col("pos") - F.col("_ipos")).alias("_shift")).agg(
-        F.collect_set("_ipos").alias("_at"),
-        F.array_distinct(F.flatten(F.collect_list(F.arrays_zip(F.col("_islots").alias("i"), F.col("slots").alias("d"))))).alias("_slots"),
+        F.collect_list(F.struct(F.col("_ipos").alias("at"), F.col("_islots").eqNullSafe(F.col("slots")).alias("same"), zipped.alias("slots"))).alias("_hits")
     )
-    n = F.size("_slots")
-    one_to_one = (F.size(F.array_distinct("_slots.i")) == n) & (F.size(F.array_distinct("_slots.d")) == n)
-    changed = F.exists("_slots", lambda s: ~s["i"].eqNullSafe(s["d"]))
+    # an item value with several document values: its windows are dropped, unless they are equal as written
+    values = F.array_distinct(F.flatten("_hits.slots"))
+    line = line.withColumn("_values", values).withColumn("_torn", F.filter("_values", lambda v: F.exists("_values", lambda w: (w["i"] == v["i"]) & (w["d"] != v["d"])))["i"])
+    sound = F.filter("_hits", lambda h: h["same"] | ~F.exists(h["slots"], lambda v: F.array_contains("_torn", v["i"])))
     whole = (
-        line.where(one_to_one)
-        .withColumn("_changed", changed)
+        line.withColumn("_sound", sound)
+        .withColumn("_changed", F.exists("_sound", lambda h: ~h["same"]))
         .groupBy("_row", "doc_id", "_item", "item_id", "n_windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_at")))).alias("n_matched"), F.max("_changed").alias("reparameterised"))
+        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_sound.at")))).alias("n_matched"), F.max("_changed").alias("reparameterised"))
     )
     return whole.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")).drop("_item")
 

@@ -107,3 +107,20 @@ def test_query_finds_verbatim_items(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     verbatim = {d.doc_id for d in docs if any(i in d.text for i in items)}
     assert verbatim and verbatim <= found and len(found - verbatim) <= 1
+
+
+LONG = "A shop sells 120 red apples and then it packs all of them in boxes of wood that stand on a long table by the door where every one of the people who come in can see them and take some home until at the end of this day all 120 are gone"
+
+
+def test_one_edited_value_costs_only_its_windows(spark):
+    edited = LONG.replace("all 120", "all 121")
+    three = "Here 3 boxes hold what other people put in 5 bags so that both of them carry the same load of apples"
+    rows = [(1, edited), (2, three.replace("3", "4").replace("5", "4")), (3, LONG.replace("sells 120", "sells 7").replace("all 120", "all 8")), (4, WRONG)]
+    items = [(10, LONG), (11, three), (12, ITEM)]
+    found = {(r.doc_id, r.item_id): r for r in dec.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    n = len(LONG.split()) - 4
+    last = [i for i, w in enumerate(LONG.split()) if w == "120"][-1]
+    touched = len([i for i in range(n) if i <= last < i + 5])
+    assert set(found) == {(1, 10), (2, 11)} | ({(3, 10)} if n - 5 - touched >= 0.8 * n else set())
+    assert found[1, 10].n_matched == n - touched and not found[1, 10].reparameterised
+    assert found[2, 11].coverage == 1.0 and found[2, 11].reparameterised
