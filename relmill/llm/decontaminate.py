@@ -1,7 +1,8 @@
 """Benchmark passages in documents, also with other numbers, names and units.
 
 Texts become templates: numbers, units and names turn into typed placeholders. Windows of
-``WINDOW`` template words of all documents are joined with those of the benchmark by hash.
+``WINDOW`` words of all documents are joined with those of the benchmark by hash, as
+templates and as written but for case.
 Matches that lie on one diagonal (same distance between both positions) form an
 alignment. Windows that are equal as written always count; the others count if each of
 their benchmark values goes to one document value in the whole alignment. A document
@@ -60,33 +61,55 @@ def _code(word: str) -> int:
 _codes = WordCodes(_code)
 
 
-def templates(words: list[str], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each window of a text's template, and the kind of each word.
+def _sums(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of the windows that start at ``at``."""
+    h = np.full(len(at), width, np.uint64)
+    for k in range(width):
+        h = (h ^ values[at + k]) * _STEP
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
-    A capitalised word is a name unless a sentence starts with it. A window with less
-    than two plain words says too little as a template: it counts as written. A text of
-    fewer words is one window.
+
+def templates(words: list[str], window: int = WINDOW, item: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """The windows of a text as (hashes, starts, kinds of all words), as written first, with None for the kinds.
+
+    As written means without case. Windows with placeholders also count as templates; one
+    with less than two plain words says too little for it. A capitalised word is a name
+    inside a sentence. At its start an ``item``'s word is a name if it is one elsewhere in
+    the item; another text's word may be either, so its windows count both ways (all ways
+    for up to two such words in a window). A text of fewer words is one window.
     """
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return []
     codes = _codes.array(words)
     kinds = codes >> 1 & 3
     starts = np.r_[True, codes[:-1] & 1 == 1]
-    kinds = np.where((kinds == NAME) & starts, WORD, kinds)
     literal = (codes >> 3).astype(np.uint64)
-    abstract = np.where(kinds == WORD, literal, kinds.astype(np.uint64) << np.uint64(40))
     width = min(window, len(words))
     n = len(words) - width + 1
-    slots = np.r_[0, np.cumsum(kinds != WORD)]
-    bare_window = width - (slots[width:] - slots[:-width]) < 2
-    sums = []
-    for values in (abstract, literal):
-        h = np.full(n, width, np.uint64)
-        for k in range(width):
-            h = (h ^ values[k : k + n]) * _STEP
-            h ^= h >> np.uint64(29)
-        sums.append(h)
-    return np.where(bare_window, sums[1] ^ _STEP, sums[0]).view(np.int64), kinds
+    everywhere = np.arange(n)
+    first = np.flatnonzero((kinds == NAME) & starts)
+    sure = np.where((kinds == NAME) & starts, WORD, kinds)
+    if item:
+        sure[first[np.isin(literal[first], literal[sure == NAME])]] = NAME
+    ways = [(sure, everywhere)]
+    if not item and len(first):
+        held = np.zeros(len(words), np.int64)
+        held[first] = 1
+        held = np.r_[0, np.cumsum(held)]
+        held = held[width:] - held[:-width]
+        for some, least in ((first, 1), (first[::2], 2), (first[1::2], 2)):
+            way = sure.copy()
+            way[some] = NAME
+            ways.append((way, np.flatnonzero(held >= least)))
+    out = [(_sums(literal, everywhere, width), everywhere, None)]
+    for way, at in ways:
+        slots = np.r_[0, np.cumsum(way != WORD)]
+        held = slots[at + width] - slots[at]
+        at = at[(held > 0) & (width - held >= 2)]
+        abstract = np.where(way == WORD, literal, way.astype(np.uint64) << np.uint64(40))
+        out.append((_sums(abstract, at, width), at, way))
+    return out
 
 
 def slot_values(words: list[str], kinds: np.ndarray, at: int, window: int = WINDOW) -> list[str]:
@@ -94,23 +117,30 @@ def slot_values(words: list[str], kinds: np.ndarray, at: int, window: int = WIND
     return [f"{kinds[k]}{bare(words[k]) or words[k]}" for k in range(at, min(at + window, len(words))) if kinds[k]]
 
 
-_WINDOWS = "_row long, id long, hash long, pos int, slots array<string>, n int"
-_ARROW = pa.schema([("_row", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("n", pa.int32())])
+_WINDOWS = "_row long, id long, hash long, pos int, slots array<string>, literal boolean, n int"
+_ARROW = pa.schema([("_row", pa.int64()), ("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("literal", pa.bool_()), ("n", pa.int32())])
 
 
 def _windows(rows: DataFrame, window: int, bits: np.ndarray | None = None) -> DataFrame:
-    """Windows of ``rows`` (_row, id, text), only those in the bitmap if there is one; n: the text's windows."""
+    """Windows of ``rows`` (_row, id, text), only those in the bitmap if there is one; n: the text's windows.
+
+    Without a bitmap the rows are items; their windows as written also have their slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in _ARROW.names}
             for row, id_, text in zip(*(batch.column(n).to_pylist() for n in ("_row", "id", "text"))):
                 words = (text or "").split()
-                hashes, kinds = templates(words, window)
-                at = np.arange(len(hashes)) if bits is None else np.flatnonzero(_maybe(bits, hashes))
-                for pos in at.tolist():
-                    for name, v in zip(_ARROW.names, (row, id_, int(hashes[pos]), pos, slot_values(words, kinds, pos, window), len(hashes))):
-                        cols[name].append(v)
+                ways = templates(words, window, bits is None)
+                for hashes, starts, kinds in ways:
+                    seen = np.arange(len(hashes)) if bits is None else np.flatnonzero(_maybe(bits, hashes))
+                    own = ways[1][2] if bits is None else kinds
+                    for k in seen.tolist():
+                        pos = int(starts[k])
+                        slots = [] if own is None else slot_values(words, own, pos, window)
+                        for name, v in zip(_ARROW.names, (row, id_, int(hashes[k]), pos, slots, kinds is None, len(ways[0][0]))):
+                            cols[name].append(v)
             yield pa.RecordBatch.from_pydict(cols, schema=_ARROW)
 
     return bounded_batches(rows).mapInArrow(run, _WINDOWS)
@@ -150,9 +180,11 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float
     bits = _bitmap(asked)
     hits = _windows(docs, window, bits)
     right = asked.select(
-        "hash", F.col("_row").alias("_item"), F.col("id").alias("item_id"), F.col("pos").alias("_ipos"), F.col("slots").alias("_islots"), F.col("n").alias("n_windows")
+        "hash", F.col("_row").alias("_item"), F.col("id").alias("item_id"), F.col("pos").alias("_ipos"), F.col("slots").alias("_islots"), "literal", F.col("n").alias("n_windows")
     )
-    pairs = hits.select("_row", F.col("id").alias("doc_id"), "hash", "pos", "slots").join(right, "hash")
+    pairs = hits.select("_row", F.col("id").alias("doc_id"), "hash", "literal", "pos", "slots").join(right, ["hash", "literal"])
+    # as written every value goes to itself
+    pairs = pairs.withColumn("slots", F.when(F.col("literal"), F.col("_islots")).otherwise(F.col("slots")))
     zipped = F.arrays_zip(F.col("_islots").alias("i"), F.col("slots").alias("d"))
     line = pairs.groupBy("_row", "doc_id", "_item", "item_id", "n_windows", (F.col("pos") - F.col("_ipos")).alias("_shift")).agg(
         F.collect_list(F.struct(F.col("_ipos").alias("at"), F.col("_islots").eqNullSafe(F.col("slots")).alias("same"), zipped.alias("slots"))).alias("_hits")

@@ -124,3 +124,13 @@ def test_one_edited_value_costs_only_its_windows(spark):
     assert set(found) == {(1, 10), (2, 11)} | ({(3, 10)} if n - 5 - touched >= 0.8 * n else set())
     assert found[1, 10].n_matched == n - touched and not found[1, 10].reparameterised
     assert found[2, 11].coverage == 1.0 and found[2, 11].reparameterised
+
+
+def test_case_and_names_at_the_start_of_sentences(spark):
+    tom = "Tom buys 12 pears at the market. Tom sells 5 of them to his aunt. Tom gives the rest to old Tom who eats 3 of them."
+    anna = tom.replace("Tom", "Anna").replace("12", "14")
+    torn = anna.replace("Anna sells", "Boris sells").replace("Anna gives", "Carla gives")
+    rows = [(1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM.title()), (4, f"Some text. {anna} The end."), (5, torn), (6, tom.lower()), (7, OTHER.replace("wait", "sit"))]
+    items = [(10, ITEM), (11, tom)]
+    got = {(r.doc_id, r.item_id): (r.coverage, r.reparameterised) for r in dec.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == {(1, 10): (1.0, False), (2, 10): (1.0, False), (3, 10): (1.0, False), (4, 11): (1.0, True), (6, 11): (1.0, False)}
