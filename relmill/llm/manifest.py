@@ -1,7 +1,7 @@
 """A Merkle manifest of a dataset, grown by appends, with a witness for every document.
 
 Each source is a tree over its documents in order of ``doc_id``: runs of ``ARITY`` nodes
-become one, level by level. Documents are dealt to aligned blocks of ``ARITY ** HEIGHT``
+become one, level by level. Documents are dealt to aligned blocks of ``ARITY ** height``
 leaves by their place in the source, so a hot source is many blocks. Within a block one task
 appends leaf by leaf: a leaf joins the open run of its level, and as a sibling completes the
 run, the partial witnesses below it are extended by what stands beside them. The roots of
@@ -28,7 +28,6 @@ from relmill.llm.common import stored
 ARITY = 3
 #: Levels of a block; 729 leaves are one task's open state and one row of about 100 KB.
 HEIGHT = 6
-BLOCK = ARITY**HEIGHT
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 WITNESS = "array<struct<left:string,right:string>>"
 _STEP = pa.struct([("left", pa.string()), ("right", pa.string())])
@@ -77,23 +76,22 @@ class Tree:
                     self.witnesses[place].append(step)
         self._add(level + 1, (_hash(digests), run[0][1], run[-1][2]))
 
-    def close(self, alone: bool) -> str:
+    def close(self, height: int, alone: bool) -> str:
         """Completes the runs that stay short and returns the root, at full height unless the block is ``alone``."""
-        height = HEIGHT
         if alone:
-            height = next(h for h in range(HEIGHT + 1) if ARITY**h >= self.size)
+            height = next(h for h in range(height + 1) if ARITY**h >= self.size)
         for level in range(height):
             if len(self.open) > level and self.open[level]:
                 self._complete(level)
         return self.open[height][0][0]
 
 
-def _grown(digests: list[str], block: int, witnessed: bool) -> tuple[str, list[list[tuple[str, str]]]]:
+def _grown(digests: list[str], block: int, height: int, witnessed: bool) -> tuple[str, list[list[tuple[str, str]]]]:
     tree = Tree(witnessed)
     for digest in digests:
         tree.append(digest)
     # A block with others behind it is full, so only the first can be short and alone.
-    return tree.close(alone=block == 0), tree.witnesses
+    return tree.close(height, alone=block == 0), tree.witnesses
 
 
 def _placed(rows: DataFrame, order: list[str], sizes: DataFrame | None = None) -> DataFrame:
@@ -119,27 +117,30 @@ def _placed(rows: DataFrame, order: list[str], sizes: DataFrame | None = None) -
     return placed.drop("_part", "_seq", "_shift")
 
 
-def _blocks(nodes: DataFrame, carried: list[str]) -> DataFrame:
-    """(_key, block, items): at most ``BLOCK`` nodes a row, in order."""
+def _blocks(nodes: DataFrame, carried: list[str], height: int) -> DataFrame:
+    """(_key, block, items): at most ``ARITY ** height`` nodes a row, in order."""
     item = F.struct("pos", "digest", *carried)
-    return nodes.groupBy("_key", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
+    return nodes.groupBy("_key", F.expr(f"pos div {ARITY**height}").alias("block")).agg(
         F.array_sort(F.collect_list(item)).alias("items")
     )
 
 
-def append(docs: DataFrame, blocks: DataFrame | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+def append(
+    docs: DataFrame, blocks: DataFrame | None = None, carry: dict[str, Column] | None = None, height: int = HEIGHT
+) -> DataFrame:
     """The blocks of a manifest: (_key, block, items), for all documents or added to earlier ``blocks``.
 
     ``carry`` names further columns to keep beside each leaf; they may read all of ``docs``.
     Null sources are one source. Null ids come first; repeated rows are leaves of their own.
     A source only grows at its end: ids must be above those it has, or a ValueError tells so.
+    All appends and ``witnesses`` take the same ``height``, the levels of a block.
     Columns other than ``FIELDS`` are not read; an empty table adds nothing.
     """
     carry = carry or {}
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_key")
     new = stored(docs.select(key, "doc_id", leaf().alias("digest"), *(c.alias(n) for n, c in carry.items())))
     if blocks is None:
-        return stored(_blocks(_placed(new, ["doc_id", "digest"]), ["doc_id", *carry]))
+        return stored(_blocks(_placed(new, ["doc_id", "digest"]), ["doc_id", *carry], height))
     sizes = blocks.groupBy("_key").agg(
         F.sum(F.size("items")).alias("_old"), F.max(F.expr("array_max(transform(items, i -> i.doc_id))")).alias("_last")
     )
@@ -147,8 +148,8 @@ def append(docs: DataFrame, blocks: DataFrame | None = None, carry: dict[str, Co
     late = first.join(sizes, "_key").where("_id <= _last or _nulls > 0").select("_key").first()
     if late:
         raise ValueError(f"a source only grows at its end, but ids come late for {late[0]!r}")
-    added = _blocks(_placed(new, ["doc_id", "digest"], sizes.select("_key", "_old")), ["doc_id", *carry])
-    is_full = F.size("items") == BLOCK
+    added = _blocks(_placed(new, ["doc_id", "digest"], sizes.select("_key", "_old")), ["doc_id", *carry], height)
+    is_full = F.size("items") == ARITY**height
     both = blocks.where(~is_full).unionByName(added).groupBy("_key", "block")
     grown = both.agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
     return stored(blocks.where(is_full).unionByName(grown))
@@ -163,18 +164,18 @@ def _rows(df: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.Record
     return df.mapInArrow(run, schema)
 
 
-def _roots(blocks: DataFrame) -> DataFrame:
+def _roots(blocks: DataFrame, height: int) -> DataFrame:
     """The blocks as nodes of the next tier: (_key, pos, digest)."""
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         block = batch.column("block")
-        found = [_grown(d, b, False)[0] for d, b in zip(batch.column("digests").to_pylist(), block.to_pylist())]
+        found = [_grown(d, b, height, False)[0] for d, b in zip(batch.column("digests").to_pylist(), block.to_pylist())]
         return pa.RecordBatch.from_arrays([batch.column("_key"), block, pa.array(found, pa.string())], ["_key", "pos", "digest"])
 
     return _rows(blocks.select("_key", "block", F.col("items.digest").alias("digests")), "_key string, pos long, digest string", make)
 
 
-def _below(blocks: DataFrame, upper: DataFrame, items: list[str], tops: list[str]) -> DataFrame:
+def _below(blocks: DataFrame, upper: DataFrame, items: list[str], tops: list[str], height: int) -> DataFrame:
     """The items of ``blocks`` with their whole witness, given that of each block: ``upper`` (_key, pos, witness, ``tops``)."""
     upper = upper.withColumnRenamed("pos", "block").withColumnRenamed("witness", "above")
     joined = blocks.join(upper, ["_key", "block"])
@@ -191,7 +192,7 @@ def _below(blocks: DataFrame, upper: DataFrame, items: list[str], tops: list[str
         columns = (batch.column(c).to_pylist() for c in ("digests", "block", "above"))
         for digests, block, above in zip(*columns):
             rest = [(s["left"], s["right"]) for s in above]
-            for witness in _grown(digests, block, True)[1]:
+            for witness in _grown(digests, block, height, True)[1]:
                 for a, b in witness + rest:
                     left.append(a)
                     right.append(b)
@@ -205,35 +206,35 @@ def _below(blocks: DataFrame, upper: DataFrame, items: list[str], tops: list[str
     return _rows(joined.select("_key", "block", F.col("items.digest").alias("digests"), "items", "above", *tops), schema, make)
 
 
-def _tiers(blocks: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def _tiers(blocks: DataFrame, height: int) -> tuple[list[DataFrame], DataFrame]:
     """Tables of blocks up to one block a key, and the root of each key (_key, digest)."""
     tiers = [blocks]
     while True:
-        nodes = stored(_roots(tiers[-1]))
+        nodes = stored(_roots(tiers[-1], height))
         if nodes.where("pos > 0").isEmpty():
             return tiers, nodes.select("_key", "digest")
-        tiers.append(stored(_blocks(nodes, [])))
+        tiers.append(stored(_blocks(nodes, [], height)))
 
 
-def witnesses(blocks: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+def witnesses(blocks: DataFrame, carried: Sequence[str] = (), height: int = HEIGHT) -> DataFrame:
     """One row per leaf: (doc_id, leaf, subroot, root, witness, ``carried``).
 
     The witness has a step for each level from the leaf to the root: the digests to the left
     and to the right of the node in its run, joined. No blocks give no rows.
     """
-    tiers, subroots = _tiers(blocks)
+    tiers, subroots = _tiers(blocks, height)
     no_key = subroots.select(F.lit("").alias("_key"), F.col("_key").alias("_source"), "digest")
-    over, root = _tiers(stored(_blocks(_placed(no_key, ["_source"]), ["_source"])))
+    over, root = _tiers(stored(_blocks(_placed(no_key, ["_source"]), ["_source"], height)), height)
     upper = root.select("_key", F.lit(0).cast("long").alias("pos"), F.col("digest").alias("root"), F.array().cast(WITNESS).alias("witness"))
     for tier in reversed(over[1:]):
-        upper = stored(_below(tier, upper, ["pos"], ["root"]))
-    sources = _below(over[0], upper, ["_source", "digest"], ["root"])
+        upper = stored(_below(tier, upper, ["pos"], ["root"], height))
+    sources = _below(over[0], upper, ["_source", "digest"], ["root"], height)
     upper = stored(
         sources.select(F.col("_source").alias("_key"), F.lit(0).cast("long").alias("pos"), F.col("digest").alias("subroot"), "root", "witness")
     )
     for tier in reversed(tiers[1:]):
-        upper = stored(_below(tier, upper, ["pos"], ["subroot", "root"]))
-    leaves = _below(blocks, upper, ["doc_id", "digest", *carried], ["subroot", "root"])
+        upper = stored(_below(tier, upper, ["pos"], ["subroot", "root"], height))
+    leaves = _below(blocks, upper, ["doc_id", "digest", *carried], ["subroot", "root"], height)
     return leaves.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", "witness", *carried)
 
 
