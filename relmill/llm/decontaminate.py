@@ -3,10 +3,12 @@
 Texts become templates: numbers, units and names turn into typed placeholders. Windows of
 ``WINDOW`` words of all documents are joined with those of the benchmark by hash, as
 templates and as written but for case.
-Matches that lie on one diagonal (same distance between both positions) form an
-alignment. Windows that are equal as written always count; the others count if each of
-their benchmark values goes to one document value in the whole alignment. A document
-contains an item if the counted windows cover ``COVERAGE`` of the item's windows.
+Matches of one item whose diagonals (distances between both positions) are close to each
+other form a place, so that inserted or missing words don't part it. In a place each of the
+item's windows has one match: one equal as written, else the one on the diagonal with most.
+Windows that are equal as written always count; the others count if each of their benchmark
+values goes to one document value in the whole place. A document contains an item if the
+counted windows of one place cover ``COVERAGE`` of the item's windows.
 
 Only windows that may be the benchmark's leave the scan: a bitmap of fixed size, made from
 the benchmark's windows, passes all of these and few others; the join then decides.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmill.llm.common import WordCodes, bare, bounded_batches, numbered, stored, word_hash
@@ -29,6 +31,8 @@ WINDOW = 5
 COVERAGE = 0.8
 #: Bits of the bitmap, and of each of the parts in which it is gathered: 4 MB in all, whatever the benchmark.
 BITMAP_BITS, PART_BITS = 25, 16
+#: Words hashed together, about; one text may be longer.
+TOGETHER = 1 << 17
 
 _NUMBER = re.compile(r"[+-]?[0-9]+([.,:/][0-9]+)*")
 _NUMBER_UNIT = re.compile(r"([+-]?[0-9]+(?:[.,][0-9]+)*)([^\W\d_]+|%|°[CF]?)")
@@ -61,60 +65,66 @@ def _code(word: str) -> int:
 _codes = WordCodes(_code)
 
 
-def _sums(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """The hashes of the windows that start at ``at``."""
+def _sums(values: np.ndarray, at: np.ndarray, width: int, names: int = 0) -> np.ndarray:
+    """The hashes of the windows that start at ``at``, with placeholders for names where ``names`` has a bit."""
     h = np.full(len(at), width, np.uint64)
     for k in range(width):
-        h = (h ^ values[at + k]) * _STEP
+        h = (h ^ (np.uint64(NAME << 40) if names >> k & 1 else values[at + k])) * _STEP
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-def templates(words: list[str], window: int = WINDOW, item: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
-    """The windows of a text as (hashes, starts, kinds of all words), as written first, with None for the kinds.
+def _kinds(codes: np.ndarray, starts: np.ndarray, item: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The sure kind of each word, and which words may be names or not, being at a sentence's start."""
+    kinds, literal = codes >> 1 & 3, codes >> 3
+    first = (kinds == NAME) & starts
+    sure = np.where(first, WORD, kinds)
+    if item:
+        sure[first & np.isin(literal, literal[sure == NAME])] = NAME
+        first[:] = False
+    return sure, first
+
 
-    As written means without case. Windows with placeholders also count as templates; one
-    with less than two plain words says too little for it. A capitalised word is a name
-    inside a sentence. At its start an ``item``'s word is a name if it is one elsewhere in
-    the item; another text's word may be either, so its windows count both ways (all ways
-    for up to two such words in a window). A text of fewer words is one window.
+def templates(codes: np.ndarray, ends: np.ndarray, window: int, item: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None, int]]:
+    """Windows of words, given by their codes, as (hashes, starts, sure kinds, mask of names at sentence starts).
+
+    ``ends``: where texts end; no window spans two. As written comes first, which means
+    without case, and has None for the kinds. Windows with placeholders also count as
+    templates; one with less than two plain words says too little for it. A capitalised word
+    is a name inside a sentence. At its start an ``item``'s word is a name if it is one
+    elsewhere in the item; another text's word may be either, so its windows count in all ways.
     """
-    if not words:
-        return []
-    codes = _codes.array(words)
-    kinds = codes >> 1 & 3
+    begin = np.r_[0, ends[:-1]]
     starts = np.r_[True, codes[:-1] & 1 == 1]
+    starts[begin[begin < len(codes)]] = True
     literal = (codes >> 3).astype(np.uint64)
-    width = min(window, len(words))
-    n = len(words) - width + 1
-    everywhere = np.arange(n)
-    first = np.flatnonzero((kinds == NAME) & starts)
-    sure = np.where((kinds == NAME) & starts, WORD, kinds)
-    if item:
-        sure[first[np.isin(literal[first], literal[sure == NAME])]] = NAME
-    ways = [(sure, everywhere)]
-    if not item and len(first):
-        held = np.zeros(len(words), np.int64)
-        held[first] = 1
-        held = np.r_[0, np.cumsum(held)]
-        held = held[width:] - held[:-width]
-        for some, least in ((first, 1), (first[::2], 2), (first[1::2], 2)):
-            way = sure.copy()
-            way[some] = NAME
-            ways.append((way, np.flatnonzero(held >= least)))
-    out = [(_sums(literal, everywhere, width), everywhere, None)]
-    for way, at in ways:
-        slots = np.r_[0, np.cumsum(way != WORD)]
-        held = slots[at + width] - slots[at]
-        at = at[(held > 0) & (width - held >= 2)]
-        abstract = np.where(way == WORD, literal, way.astype(np.uint64) << np.uint64(40))
-        out.append((_sums(abstract, at, width), at, way))
+    of = np.repeat(np.arange(len(ends)), np.diff(np.r_[0, ends]))
+    at = np.arange(max(0, len(codes) - window + 1))
+    at = at[of[at] == of[at + window - 1]]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray | None, int]] = [(_sums(literal, at, window), at, None, 0)]
+    sure, first = _kinds(codes, starts, item)
+    slots = np.r_[0, np.cumsum(sure != WORD)]
+    held = slots[at + window] - slots[at]
+    abstract = np.where(sure == WORD, literal, sure.astype(np.uint64) << np.uint64(40))
+    some = (held > 0) & (window - held >= 2)
+    out.append((_sums(abstract, at[some], window), at[some], sure, 0))
+    may = np.r_[0, np.cumsum(first)]
+    some = np.flatnonzero(may[at + window] > may[at])
+    at, held = at[some], held[some]
+    names = np.zeros(len(at), np.int64)
+    for k in range(window):
+        names |= first[at + k].astype(np.int64) << k
+    for mask in range(1, 1 << window):
+        some = (names & mask == mask) & (window - held - mask.bit_count() >= 2)
+        if some.any():
+            out.append((_sums(abstract, at[some], window, mask), at[some], sure, mask))
     return out
 
 
-def slot_values(words: list[str], kinds: np.ndarray, at: int, window: int = WINDOW) -> list[str]:
+def slot_values(words: list[str], kinds: list[int], names: int = 0) -> list[str]:
     """The values that stand for a window's placeholders, with their kind."""
-    return [f"{kinds[k]}{bare(words[k]) or words[k]}" for k in range(at, min(at + window, len(words))) if kinds[k]]
+    kinds = [NAME if names >> k & 1 else kind for k, kind in enumerate(kinds)]
+    return [f"{kind}{bare(word) or word}" for word, kind in zip(words, kinds) if kind]
 
 
 _WINDOWS = "_row long, id long, hash long, pos int, slots array<string>, literal boolean, n int"
@@ -127,20 +137,41 @@ def _windows(rows: DataFrame, window: int, bits: np.ndarray | None = None) -> Da
     Without a bitmap the rows are items; their windows as written also have their slots.
     """
 
+    def found(cols: dict[str, list], rows: list[tuple[int, int | None]], texts: list[list[str]], width: int) -> None:
+        words = [w for t in texts for w in t]
+        ends = np.cumsum([len(t) for t in texts])
+        ways = templates(_codes.array(words), ends, width, bits is None)
+        for hashes, starts, sure, names in ways:
+            seen = np.arange(len(hashes)) if bits is None else np.flatnonzero(_maybe(bits, hashes))
+            own = ways[1][2] if bits is None else sure
+            of = np.searchsorted(ends, starts[seen], side="right")
+            for k, text in zip(seen.tolist(), of.tolist()):
+                at = int(starts[k])
+                slots = [] if own is None else slot_values(words[at : at + width], own[at : at + width].tolist(), names)
+                n = len(texts[text])
+                for name, v in zip(_ARROW.names, (*rows[text], int(hashes[k]), at - int(ends[text]) + n, slots, sure is None, n - width + 1)):
+                    cols[name].append(v)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: dict[str, list] = {n: [] for n in _ARROW.names}
+            by_width: dict[int, tuple[list, list]] = {}
+            held = 0
             for row, id_, text in zip(*(batch.column(n).to_pylist() for n in ("_row", "id", "text"))):
                 words = (text or "").split()
-                ways = templates(words, window, bits is None)
-                for hashes, starts, kinds in ways:
-                    seen = np.arange(len(hashes)) if bits is None else np.flatnonzero(_maybe(bits, hashes))
-                    own = ways[1][2] if bits is None else kinds
-                    for k in seen.tolist():
-                        pos = int(starts[k])
-                        slots = [] if own is None else slot_values(words, own, pos, window)
-                        for name, v in zip(_ARROW.names, (row, id_, int(hashes[k]), pos, slots, kinds is None, len(ways[0][0]))):
-                            cols[name].append(v)
+                if words and bits is None:  # what a name is depends on the item
+                    found(cols, [(row, id_)], [words], min(window, len(words)))
+                elif words:
+                    some = by_width.setdefault(min(window, len(words)), ([], []))
+                    some[0].append((row, id_))
+                    some[1].append(words)
+                    held += len(words)
+                if held > TOGETHER:
+                    for width, part in by_width.items():
+                        found(cols, *part, width)
+                    by_width, held = {}, 0
+            for width, part in by_width.items():
+                found(cols, *part, width)
             yield pa.RecordBatch.from_pydict(cols, schema=_ARROW)
 
     return bounded_batches(rows).mapInArrow(run, _WINDOWS)
@@ -186,20 +217,30 @@ def _matches(docs: DataFrame, benchmark: DataFrame, window: int, coverage: float
     # as written every value goes to itself
     pairs = pairs.withColumn("slots", F.when(F.col("literal"), F.col("_islots")).otherwise(F.col("slots")))
     zipped = F.arrays_zip(F.col("_islots").alias("i"), F.col("slots").alias("d"))
-    line = pairs.groupBy("_row", "doc_id", "_item", "item_id", "n_windows", (F.col("pos") - F.col("_ipos")).alias("_shift")).agg(
-        F.collect_list(F.struct(F.col("_ipos").alias("at"), F.col("_islots").eqNullSafe(F.col("slots")).alias("same"), zipped.alias("slots"))).alias("_hits")
+    hits = pairs.select(
+        "_row", "doc_id", "_item", "item_id", "n_windows", F.col("_ipos").alias("at"), (F.col("pos") - F.col("_ipos")).alias("_shift"),
+        F.col("_islots").eqNullSafe(F.col("slots")).alias("same"), zipped.alias("slots"),
+    )
+    # all that follows is dealt by row and item
+    near = Window.partitionBy("_row", "_item")
+    hits = hits.withColumn("_size", F.count("*").over(Window.partitionBy("_row", "_item", "_shift")))
+    hits = hits.withColumn("_gap", F.col("_shift") - F.lag("_shift").over(near.orderBy("_shift")))
+    hits = hits.withColumn("_place", F.count_if(F.col("_gap") > F.col("n_windows")).over(near.orderBy("_shift")))
+    best = Window.partitionBy("_row", "_item", "_place", "at").orderBy(F.desc("same"), F.desc("_size"), "_shift")
+    hits = hits.withColumn("_best", F.row_number().over(best)).where("_best = 1")
+    places = hits.groupBy("_row", "doc_id", "_item", "item_id", "n_windows", "_place").agg(
+        F.collect_list(F.struct("same", "slots")).alias("_hits")
     )
     # an item value with several document values: its windows are dropped, unless they are equal as written
     values = F.array_distinct(F.flatten("_hits.slots"))
-    line = line.withColumn("_values", values).withColumn("_torn", F.filter("_values", lambda v: F.exists("_values", lambda w: (w["i"] == v["i"]) & (w["d"] != v["d"])))["i"])
+    places = places.withColumn("_values", values).withColumn("_torn", F.filter("_values", lambda v: F.exists("_values", lambda w: (w["i"] == v["i"]) & (w["d"] != v["d"])))["i"])
     sound = F.filter("_hits", lambda h: h["same"] | ~F.exists(h["slots"], lambda v: F.array_contains("_torn", v["i"])))
-    whole = (
-        line.withColumn("_sound", sound)
-        .withColumn("_changed", F.exists("_sound", lambda h: ~h["same"]))
-        .groupBy("_row", "doc_id", "_item", "item_id", "n_windows")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_list("_sound.at")))).alias("n_matched"), F.max("_changed").alias("reparameterised"))
+    places = places.withColumn("_sound", sound)
+    whole = places.groupBy("_row", "doc_id", "_item", "item_id", "n_windows").agg(
+        F.max(F.struct(F.size("_sound").alias("n"), F.exists("_sound", lambda h: ~h["same"]).alias("changed"))).alias("_m")
     )
-    return whole.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows")).drop("_item")
+    whole = whole.select("_row", "doc_id", "item_id", "n_windows", F.col("_m.n").alias("n_matched"), F.col("_m.changed").alias("reparameterised"))
+    return whole.where(F.col("n_matched") >= F.lit(coverage) * F.col("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
@@ -216,7 +257,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the rows that contain a benchmark item; the columns are those of ``docs``."""
+    """``docs`` without the rows that contain a benchmark item; the columns are those of ``docs``.
+
+    Null and empty texts stay, repeated rows share their verdict; an empty table or benchmark drops nothing.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     kept = stored(numbered(docs.toDF(*names)))

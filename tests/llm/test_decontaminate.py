@@ -11,44 +11,65 @@ from relmill.llm import queries
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
 
-def plain_template(text):
-    """Pairs of placeholder (or word) and value."""
+def plain_words(text, item):
+    """(word without case, kind or None, whether the word may be a name or not) of a text or item."""
     out, start = [], True
     for w in text.split():
         core = re.sub(r"^\W+|\W+$", "", w.lower()) or w
         plain = re.sub(r"^[^\w+-]+|[^\w%°]+$", "", w)
+        name = len(plain) > 1 and plain[0].isupper() and plain[1:].islower()
         if re.fullmatch(r"[+-]?\d+([.,:/]\d+)*", plain) or re.fullmatch(r"[+-]?\d+([.,]\d+)*([^\W\d_]+|%)", plain):
-            kind = "#"
+            kind, name = "#", False
         elif plain.lower() in dec.UNITS:
-            kind = "unit"
-        elif not start and len(plain) > 1 and plain[0].isupper() and plain[1:].islower():
-            kind = "name"
+            kind, name = "unit", False
         else:
-            kind = None
-        out.append((kind, core))
+            kind = "name" if name and not start else None
+        out.append((core, kind, name and start))
         start = w[-1] in ".!?:"
+    if item:
+        names = {core for core, kind, _ in out if kind == "name"}
+        out = [(core, "name" if free and core in names else kind, False) for core, kind, free in out]
     return out
 
 
 def plain_matches(doc, item, window=5, coverage=0.8):
-    a, b = plain_template(doc), plain_template(item)
+    a, b = plain_words(doc, False), plain_words(item, True)
     if not a or not b:
         return False
-    window = min(window, len(b)) if len(b) < window and len(a) == len(b) else window
-    lines = {}
+    if len(b) < window:
+        if len(a) != len(b):
+            return False
+        window = len(b)
+    n = len(b) - window + 1
+    hits = []  # (shift, item position, equal as written, item values to document values)
     for i in range(len(a) - window + 1):
-        for j in range(len(b) - window + 1):
+        for j in range(n):
             x, y = a[i : i + window], b[j : j + window]
-            literal = sum(k is None for k, _ in y) < 2
-            if [k for k, _ in x] == [k for k, _ in y] and all(u == v for (k, u), (_, v) in zip(x, y) if literal or k is None):
-                at, pairs = lines.setdefault(i - j, (set(), set()))
-                at.add(j)
-                pairs |= {((k, v), (k, u)) for (k, u), (_, v) in zip(x, y) if k}
-    covered = set()
-    for at, pairs in lines.values():
-        if len({p for p, _ in pairs}) == len(pairs) == len({q for _, q in pairs}):
-            covered |= at
-    return len(covered) >= coverage * max(1, len(b) - window + 1) and bool(covered)
+            values = {((k, v), (k, u)) for (u, _, _), (v, k, _) in zip(x, y) if k}
+            slots = sum(k is not None for _, k, _ in y)
+            if all(u == v for (u, _, _), (v, _, _) in zip(x, y)):
+                hits.append((i - j, j, True, {(p, p) for p, _ in values}))
+            elif slots and window - slots >= 2 and all(
+                (k is not None and (l == k or (free and k == "name"))) or (k is None and l is None and u == v)
+                for (u, l, free), (v, k, _) in zip(x, y)
+            ):
+                hits.append((i - j, j, all(p == q for p, q in values), values))
+    size = {s: sum(h[0] == s for h in hits) for s in {h[0] for h in hits}}
+    places, last = [], None
+    for s in sorted(size):
+        if last is None or s - last > n:
+            places.append([])
+        places[-1] += [h for h in hits if h[0] == s]
+        last = s
+    for place in places:
+        best = {}
+        for s, j, same, values in place:
+            best[j] = min(best.get(j, (2, 0, 0, None)), (not same, -size[s], s, frozenset(values)), key=lambda x: x[:3])
+        pairs = set().union(*(v for *_, v in best.values()))
+        torn = {p for p, q in pairs for p2, q2 in pairs if p == p2 and q != q2}
+        if sum(not changed or not any(p in torn for p, _ in v) for changed, _, _, v in best.values()) >= coverage * n:
+            return True
+    return False
 
 
 ITEM = "A train leaves with 120 people and meets Anna after 3 hours near Paris while 120 people wait for the second train to come"
@@ -69,6 +90,7 @@ def test_reparameterised(spark):
     want = [(str(d), i) for d, t in rows for i, x in items if i != 11 and plain_matches(t or "", x or "")]
     assert sorted((d, i) for d, i, _ in got) == sorted(want)
     assert ("1", 10, False) in got and ("2", 10, True) in got and ("None", 10, True) in got
+    assert ("5", 10, False) in got
     assert not {d for d, _, _ in got} & {"3", "4", "6", "7", "8", "11"}
     assert [d for d, i, _ in got if i == 12] == ["9", "9"]
     clean = dec.decontaminate(docs, bench)
@@ -134,3 +156,20 @@ def test_case_and_names_at_the_start_of_sentences(spark):
     items = [(10, ITEM), (11, tom)]
     got = {(r.doc_id, r.item_id): (r.coverage, r.reparameterised) for r in dec.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
     assert got == {(1, 10): (1.0, False), (2, 10): (1.0, False), (3, 10): (1.0, False), (4, 11): (1.0, True), (6, 11): (1.0, False)}
+
+
+def test_values_hold_over_an_inserted_word(spark):
+    item = "A shop sells 120 red apples and packs them in boxes of wood then it sells 120 green pears that stand on the long table by the door"
+    torn = item.replace("120 red", "75 red").replace("120 green", "64 green")
+    rows = [(1, torn), (2, torn.replace("then it", "then very it")), (3, item.replace("120", "75").replace("then it", "then very it")),
+            (4, f"{item.replace('120', '75')} {item.replace('120', '64')}"), (5, item.replace("then it", "then very it"))]
+    got = {r.doc_id: r.reparameterised for r in dec.contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(9, item)], ITEMS)).collect()}
+    assert {d for d, t in rows if plain_matches(t, item)} == set(got)
+    assert got == {4: True} | ({3: True, 5: False} if len(item.split()) - 4 - 4 >= 0.8 * (len(item.split()) - 4) else {})
+
+
+def test_many_names_at_sentence_starts(spark):
+    item = "Alice. Bob. Carl ran home and then Alice met Bob and Carl there"
+    other = item.replace("Alice", "Dora").replace("Bob", "Emil").replace("Carl", "Fred")
+    got = dec.contaminated(spark.createDataFrame([(1, other)], DOCS), spark.createDataFrame([(2, item)], ITEMS)).collect()
+    assert plain_matches(other, item) == (len(got) == 1) and got
