@@ -15,8 +15,8 @@ from relmill.plans.store import stored
 
 __all__ = ["BATCH_ROWS", "WordCodes", "bounded_batches", "held_out", "numbered", "table", "stored", "with_columns"]
 
-#: Rows per Arrow batch. A batch holds whole texts, so its memory is this many texts.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch. A batch holds whole texts; one text may be larger than this.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session hands at most ``BATCH_ROWS`` rows at a time to Python workers."""
+    """``df``; its session hands at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at a time to Python workers."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

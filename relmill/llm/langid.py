@@ -35,8 +35,8 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _MIX = np.uint32(0x9E3779B1)
-#: Documents counted together; bounds the table of counts.
-_TOGETHER = 64
+#: Documents and characters counted together; they bound the tables of a task, one text may be larger.
+_TOGETHER, _CHARS = 64, 1 << 20
 
 
 def has_letter(text: str | None) -> bool:
@@ -56,6 +56,18 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((code[keep] * _MIX) >> np.uint32(18)).astype(np.int64), of[:-2][keep]
 
 
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``_TOGETHER`` texts and ``_CHARS`` characters, at least one text each."""
+    low, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > low and (i - low == _TOGETHER or held + size > _CHARS):
+            yield low, i
+            low, held = i, 0
+        held += size
+    if sizes:
+        yield low, len(sizes)
+
+
 def fit(docs: DataFrame, lang: Column | None = None) -> dict[str, np.ndarray]:
     """Log distributions by language, from every row of ``docs`` (text, lang) with a letter and a language.
 
@@ -68,8 +80,8 @@ def fit(docs: DataFrame, lang: Column | None = None) -> dict[str, np.ndarray]:
         for batch in batches:
             for name, texts in batch.groupby("lang")["text"]:
                 texts = [t for t in texts if has_letter(t)]
-                if texts:
-                    found = np.bincount(_trigrams(texts)[0], minlength=BUCKETS)
+                for low, high in _parts([len(t) for t in texts]):
+                    found = np.bincount(_trigrams(texts[low:high])[0], minlength=BUCKETS)
                     sums[name] = sums[name] + found if name in sums else found
         for name, found in sums.items():
             at = np.flatnonzero(found)
@@ -116,8 +128,8 @@ def mixtures(texts: list[str | None], names: list[str], tables: np.ndarray) -> l
     told = [i for i, t in enumerate(texts) if has_letter(t)]
     if not names:
         return out
-    for low in range(0, len(told), _TOGETHER):
-        rows = told[low : low + _TOGETHER]
+    for low, high in _parts([len(texts[i]) for i in told]):
+        rows = told[low:high]
         codes, of = _trigrams([texts[i] for i in rows])
         counts = np.bincount(of * BUCKETS + codes, minlength=len(rows) * BUCKETS)
         cells = np.flatnonzero(counts)
@@ -182,10 +194,18 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] | No
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are in no learned language (``und``); learned from their own ``lang``."""
+    """``docs`` without the rows that are in no learned language (``und``); learned from their own ``lang``.
+
+    Null and empty texts and those without a letter go; where no row has a language, nothing
+    else does. Repeated rows and further columns stay as they are; an empty table stays empty.
+    """
     model = fit(docs)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
     at = {c: names[i] for i, c in enumerate(docs.columns)}
+    if not model:
+        letters = lambda texts: [[has_letter(t) for t in texts]]
+        told = with_columns(plain.withColumn("_text", F.col(at["text"]).cast("string")), "_text", {"_told": "boolean"}, letters)
+        return told.where("_told").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
     told = identify(plain.withColumn("text", F.col(at["text"])), model, names)
     return told.where(F.col("lang_pred") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
