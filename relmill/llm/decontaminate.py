@@ -265,6 +265,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     at = dict(zip(docs.columns, names))
     kept = stored(numbered(docs.toDF(*names)))
     rows = kept.select("_row", F.col("_row").alias("id"), F.col(at["text"]).cast("string").alias("text"))
-    bad = _matches(rows, benchmark, window, coverage).select("_row").distinct()
+    bad = stored(_matches(rows, benchmark, window, coverage).select("_row").distinct())  # its size is then known
     clean = kept.join(bad, "_row", "left_anti")
     return clean.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
