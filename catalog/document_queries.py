@@ -462,15 +462,20 @@ def order_fields(spark, sf_dir):
 
 # ---- whole run --------------------------------------------------------------------------------
 def recorded_replies(chunks):
-    """A reply per chunk: the first and last words of its start, as the model would answer."""
-    word = lambda i: F.regexp_replace(F.coalesce(F.get(F.split("chunk_text", " +"), F.lit(i)), F.lit("")), "[^A-Za-z]", "")
-    item = lambda i: F.concat(
-        F.lit('{"head":"'), word(i), F.lit('","relation":"位于","tail":"'), word(i + 1), F.lit('","evidence":"'),
-        word(i), F.lit(" "), word(i + 1), F.lit('","skill":"'), F.element_at("selected_skills", 1), F.lit('"}'),
-    )
-    return chunks.select(
-        "prompt_id", F.concat(F.lit('{"relation_list":['), item(0), F.lit(","), item(2), F.lit("]}")).alias("reply")
+    """A reply per chunk: the first and last word of each of its sentences, as the model would answer."""
+
+    def item(words):
+        first, last = F.element_at(words, 1), F.element_at(words, -1)
+        return F.concat(
+            F.lit('{"head":"'), first, F.lit('","relation":"位于","tail":"'), last, F.lit('","evidence":"'),
+            F.array_join(words, " "), F.lit('","skill":"'), F.element_at("selected_skills", 1), F.lit('"}'),
+        )
+
+    sentences = F.transform(
+        F.split("chunk_text", "[.!?\n]+"), lambda s: F.filter(F.split(F.regexp_replace(s, "[^A-Za-z ]", ""), " +"), lambda w: w != "")
     )
+    items = F.transform(F.filter(sentences, lambda w: F.size(w) >= 2), item)
+    return chunks.select("prompt_id", F.concat(F.lit('{"relation_list":['), F.array_join(items, ","), F.lit("]}")).alias("reply"))
 
 
 @query("v10_extract_corpus")

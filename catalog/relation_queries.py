@@ -437,6 +437,9 @@ def merge_chunks_fast(spark, sf_dir):
 
 
 # ---- replies --------------------------------------------------------------------------------
+NOTES = '["x", {"y": [[{"z": [[{"u": [[[[{"v": 1}]]]]}]]}]]}]'
+
+
 def reply_docs(spark, sf_dir, wrapper: str = "relation_list", fields=("head", "relation", "tail")):
     """Replies built from the sentences: plain, fenced, chatty, or cut off."""
     docs = relation_docs(spark, sf_dir)
@@ -447,7 +450,7 @@ def reply_docs(spark, sf_dir, wrapper: str = "relation_list", fields=("head", "r
         parts = [F.lit("{")]
         for i, (name, field) in enumerate(zip(fields, source)):
             parts += [F.lit(f'{", " if i else ""}"{name}": "{"{" if i == 2 else ""}'), plain(r[field]), F.lit('"')]
-        return F.concat(*parts, F.lit(', "notes": ["x", {"y": 1}]}'))
+        return F.concat(*parts, F.lit(f', "notes": {NOTES}}}'))
 
     body = F.array_join(F.transform("relations", item), ", ")
     whole = F.concat(F.lit(f'{{"{wrapper}": ["odd", '), body, F.lit("]}"))
@@ -469,7 +472,7 @@ PARSED = (
     f"""items AS (SELECT doc_id, relation_ord, regexp_replace(head, '[^A-Za-z0-9 ]', '', 'g') AS head,
       regexp_replace(skill, '[^A-Za-z0-9 ]', '', 'g') AS relation,
       '{{' || regexp_replace(evidence, '[^A-Za-z0-9 ]', '', 'g') AS tail FROM rel)""",
-    """sized AS (SELECT *, length('{"head": "", "relation": "", "tail": "", "notes": ["x", {"y": 1}]}') + length(head) + length(relation)
+    f"""sized AS (SELECT *, length('{{"head": "", "relation": "", "tail": "", "notes": {NOTES}}}') + length(head) + length(relation)
       + length(tail) + 2 AS n FROM items)""",
     """placed AS (SELECT *, 26 + sum(n) OVER (PARTITION BY doc_id ORDER BY relation_ord) - 2 AS stop,
       (26 + sum(n) OVER (PARTITION BY doc_id) - 2 + 2) * 2 // 3 AS cut FROM sized)""",

@@ -18,7 +18,7 @@ from catalog.registry import query
 from relmill.functions.text import WS
 from relmill.operators import text as T
 
-BREAK = "\uffff"
+BREAK = "\x02"  # in no given text
 
 
 def _pieces(array: str, value: str, ord_name: str, source: str = "documents") -> str:
@@ -51,13 +51,13 @@ def marked_docs(spark, sf_dir):
             F.col("lang"),
             F.lit("\r\n第3阶段 "),
             F.col("source"),
-            F.lit(" 二、"),
+            F.lit(" 二、a\uffff b"),
         ).alias("text"),
     )
 
 
 MARKED = """marked AS (SELECT doc_id, replace(text, chr(10), '。' || chr(10) || ' 1. ') || '；（二） ' || lang
-  || chr(13) || chr(10) || '第3阶段 ' || source || ' 二、' AS text FROM documents)"""
+  || chr(13) || chr(10) || '第3阶段 ' || source || ' 二、a\uffff b' AS text FROM documents)"""
 # pieces end behind a boundary character; one opens a section when it starts with a marker
 OUTLINE_PIECES = (
     MARKED,

@@ -26,7 +26,7 @@ EDGE_PUNCT = " ，。；：,.;"
 CJK_CHAR = r"[\x{4E00}-\x{9FFF}]"
 LATIN_WORD = r"[A-Za-z0-9_+\-]+"
 TOKEN_PUNCT = "，。！？；：,.!?;:（）()【】[]“”\"'、-"
-SENTINEL = "\uffff"  # a noncharacter: never part of interchanged text
+SENTINEL = "\uffff"  # stands for a word while words are counted
 # -------------------------------------------------------------------------------------
 
 
@@ -85,7 +85,8 @@ def approx_tokens(c: Column) -> Column:
     cjk = size - F.char_length(F.regexp_replace(c, CJK_CHAR + "+", ""))
     punct = size - F.char_length(F.translate(c, TOKEN_PUNCT, ""))
     # every word shrinks to one marker, then only the markers are left to count
-    words = F.regexp_replace(F.regexp_replace(c, LATIN_WORD, SENTINEL), f"[^{SENTINEL}]+", "")
+    # (one that the text holds itself is no word)
+    words = F.regexp_replace(F.regexp_replace(F.translate(c, SENTINEL, " "), LATIN_WORD, SENTINEL), f"[^{SENTINEL}]+", "")
     return (
         cjk + F.char_length(words) + F.greatest(F.lit(1), F.floor(punct / 4).cast("int"))
     ).cast("int")

@@ -18,21 +18,54 @@ THINKING = r"(?s)<think>.*?</think>"
 OPEN_FENCES = (r"\A```json", r"\A```")
 CLOSE_FENCE = r"```\z"
 LIST_KEY = '"relation_list"'
-JSON_STRING = r'"(?:[^"\\]|\\.)*+"'
 # -------------------------------------------------------------------------------------------
-#: Objects inside objects that recovery follows.
-NESTING = 6
+#: A string (to the end if it breaks off), a bracket, or what lies between.
+TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"?|[\[\]{}]|[^"\[\]{}]++'
 
 
-def _balanced(depth: int) -> str:
-    """An object or list whose brackets close, strings skipped, with ``depth`` levels inside."""
-    inner = rf"[^{{}}\[\]\"]++|{JSON_STRING}" + (f"|{_balanced(depth - 1)}" if depth else "")
-    return rf"(?:\{{(?:{inner})*+\}}|\[(?:{inner})*+\])"
+def complete_objects(list_text: Column) -> Column:
+    """The outermost objects of a JSON list, as text, up to where the list ends or breaks off.
 
+    One walk over the tokens with the open brackets as a stack, so objects may be nested to
+    any depth. The walk ends where a bracket closes none of its kind; an object still open
+    by then is left out.
+    """
+    start = F.struct(
+        F.lit("").alias("open"), F.lit(1).alias("at"), F.lit(0).alias("first"), F.lit(False).alias("done"),
+        F.array().cast("array<struct<first:int,size:int>>").alias("found"),
+    )
+    closes = F.create_map(F.lit("}"), F.lit("{"), F.lit("]"), F.lit("["))
+
+    def step(acc: Column, token: Column) -> Column:
+        opening = token.isin("{", "[")
+        closing = token.isin("}", "]")
+        top = F.substring(acc["open"], -1, 1)
+        torn = closing & (top != closes[token])
+        stack = (
+            F.when(opening, F.concat(acc["open"], token))
+            .when(closing, acc["open"].substr(F.lit(1), F.char_length(acc["open"]) - 1))
+            .otherwise(acc["open"])
+        )
+        outer = ~F.contains(acc["open"], F.lit("{"))
+        ends = (token == "}") & ~torn & ~F.contains(stack, F.lit("{"))
+        size = acc["at"] - acc["first"] + 1
+        moved = F.struct(
+            stack.alias("open"),
+            (acc["at"] + F.char_length(token)).alias("at"),
+            F.when((token == "{") & outer, acc["at"]).otherwise(acc["first"]).alias("first"),
+            (torn | (closing & (stack == ""))).alias("done"),
+            F.when(ends, F.concat(acc["found"], F.array(F.struct(acc["first"].alias("first"), size.alias("size")))))
+            .otherwise(acc["found"])
+            .alias("found"),
+        )
+        return F.when(acc["done"], acc).otherwise(moved)
 
-OBJECT = r"(?s)(?=\{)" + _balanced(NESTING)
-#: What follows the opening bracket of a list, up to its own closing bracket or to where the text breaks off.
-OPEN_LIST = rf"(?s)\[(?:[^{{}}\[\]\"]++|{JSON_STRING}|{_balanced(NESTING)})*+"
+    tokens = F.regexp_extract_all(list_text, F.lit(TOKEN), 0)
+    found = F.aggregate(tokens, start, step, lambda acc: acc["found"])
+    return let(
+        F.struct(list_text.alias("t"), found.alias("f")),
+        lambda b: F.transform(b["f"], lambda o: b["t"].substr(o["first"], o["size"])),
+    )
 
 
 def clean_reply(raw: Column) -> Column:
@@ -72,7 +105,7 @@ def _recovered(text: Column) -> Column:
     """The complete objects behind the list key; null when there are none."""
     at = F.locate(LIST_KEY, text)
     behind = F.when(at > 0, text.substr(at + F.lit(len(LIST_KEY)), F.char_length(text)))
-    objects = F.regexp_extract_all(F.regexp_extract(behind, OPEN_LIST, 0), F.lit(OBJECT), 0)
+    objects = complete_objects(null_if_empty(F.regexp_extract(behind, r"(?s)\[.*", 0)))
     return let(_items(objects), lambda r: F.when(F.size(r["relations"]) > 0, r))
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from relmill.functions.rows import posexplode
 from relmill.functions.text import (
-    SENTINEL,
     WS,
     approx_tokens,
     greedy_starts,
@@ -83,11 +82,9 @@ def evidence_array(c: Column) -> Column:
 
 def outline_array(c: Column) -> Column:
     unified = F.regexp_replace(c, r"\r\n?", "\n")
-    # a marker at the very start opens no new piece, so only led markers need a cut
-    cut = F.regexp_replace(
-        unified, f"(?<={MARKER_LEAD})({WS}*)({SECTION_MARKER})", "$1" + SENTINEL + "$2"
-    )
-    return split_stripped(cut, SENTINEL)
+    # a marker at the very start opens no new piece, so only led markers need a cut; the cut is
+    # a place between two characters and takes none that the text may hold
+    return split_stripped(unified, f"(?<={MARKER_LEAD}){WS}*(?={SECTION_MARKER})")
 
 
 def unit_array(c: Column, budget: int) -> Column:

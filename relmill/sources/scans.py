@@ -11,6 +11,7 @@ from relmill.functions.text import null_if_empty, safe_filename
 from relmill.operators.layout import LAYOUT_SCHEMA, layout_page_array
 from relmill.operators.routing import ROUTE_TYPE
 from relmill.operators.skills import SKILL_SCHEMA
+from relmill.plans.store import stored
 
 # ---- fixed values: accepted suffixes and file signatures ----------------------------------
 PDF_TYPE = 0
@@ -25,6 +26,8 @@ SIGNATURES = (
 )
 WEBP_SIGNATURE = "(?s)^52494646.{8}57454250"
 # -------------------------------------------------------------------------------------------
+#: Lines that are counted together when a limit skips empty ones.
+RANGE_LINES = 10_000
 SAMPLE_SCHEMA = "sample_id string, input map<string,string>, output string"
 CACHE_SCHEMA = f"doc_hash string, route {ROUTE_TYPE}, written_at timestamp"
 
@@ -88,9 +91,9 @@ def number_lines(lines: DataFrame, alias: str) -> DataFrame:
     """Global 0-based line numbers without a global sort.
 
     The ids that a scan gives to its rows are consecutive inside an input split, so a row's
-    rank in its split is a difference. Only the counts of the splits are ordered, summed and
-    sent back to all tasks: a hundred bytes for each split, about a millionth of the text,
-    which itself is not shuffled.
+    rank in its split is a difference. Only the counts of the splits are ordered and summed;
+    they are written, so that the planner knows their size and sends them to all tasks while
+    that is below its limit for broadcasts.
     """
     split = ("_file", "_start")
     counts = lines.groupBy(*split).agg(
@@ -99,7 +102,7 @@ def number_lines(lines: DataFrame, alias: str) -> DataFrame:
     before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     return (
-        lines.join(F.broadcast(offsets.drop("_n")), list(split))
+        lines.join(stored(offsets.drop("_n")), list(split))
         .withColumn(alias, F.col("_offset") + F.col("_row") - F.col("_first"))
         .drop("_offset", "_first")
     )
@@ -141,9 +144,32 @@ def scan_samples(
         parsed = parsed.filter("doc_text != ''")
     if limit is None:
         return parsed
-    if skip_empty:
-        return parsed.orderBy("sample_index").limit(limit)
-    return parsed.filter(F.col("sample_index") < limit)
+    if not skip_empty:
+        return parsed.filter(F.col("sample_index") < limit)
+    return parsed.filter(F.col("sample_index") <= _last_index(parsed, limit))
+
+
+def _last_index(parsed: DataFrame, limit: int) -> int:
+    """The index of row ``limit`` of ``parsed`` in order of ``sample_index``, or of its last; -1 if there is none.
+
+    Rows are counted in ranges of indices; only in the range that holds the wanted row are
+    indices sorted, and no texts anywhere.
+    """
+    width = F.lit(RANGE_LINES)
+    counts = parsed.groupBy(F.floor(F.col("sample_index") / width).alias("_range")).agg(
+        F.count("*").alias("_n"), F.max("sample_index").alias("_last")
+    )
+    total = F.sum("_n").over(Window.orderBy("_range"))
+    reached = stored(counts.withColumn("_total", total))
+    border = reached.filter(F.col("_total") >= limit).orderBy("_range").first()
+    if limit <= 0:
+        return -1
+    if border is None:
+        last = reached.agg(F.max("_last")).first()[0]
+        return -1 if last is None else last
+    inside = parsed.filter(F.floor(F.col("sample_index") / width) == border["_range"]).select("sample_index")
+    rank = limit - (border["_total"] - border["_n"])
+    return inside.orderBy("sample_index").limit(rank).agg(F.max("sample_index")).first()[0]
 
 
 # ---- skills ---------------------------------------------------------------------------------

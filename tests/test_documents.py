@@ -273,3 +273,17 @@ def test_run_is_grounded_in_rewritten_text(spark):
     replies = prepared.chunks.select("prompt_id", F.lit(reply).alias("reply"))
     got = corpus.extract_corpus(docs, replies, SKILLS, config, coref_replies=coref).collect()
     assert [r["head"] for r in got] == ["Grey Heron"] and got[0]["evidence"].startswith("Grey Heron")
+
+
+def test_limit_counts_only_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_LINES", 4)
+    lines = ['{"sample_id":"%d","output":"%s"}' % (i, "" if i % 3 else f"text {i}") for i in range(40)]
+    for part in range(2):
+        (tmp_path / f"part-{part}.txt").write_text("\n".join(lines[part * 20 : part * 20 + 20]) + "\n")
+    every = [i for i in range(40) if i % 3 == 0]
+    for limit in (-1, 0, 1, 3, 7, 14, 99):
+        got = S.scan_samples(spark, str(tmp_path), limit, skip_empty=True).collect()
+        assert sorted(r["sample_index"] for r in got) == every[: max(0, limit)]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "a.txt").write_text("")
+    assert S.scan_samples(spark, str(tmp_path / "none"), 5, skip_empty=True).collect() == []

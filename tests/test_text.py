@@ -65,6 +65,13 @@ def test_outline_starts(spark):
     assert got == {0: ["前言。", "一、总则。", "1. 第一条；", "（二）第二条", "第3阶段 末。2.5 不是"]}
 
 
+def test_no_character_is_a_marker(spark):
+    texts = ["a\uffffb one。\uffff 1. two \uffff", "\uffff"]
+    got = pieces(T.split_outline(docs(spark, texts)), "piece_ord", "piece")
+    assert got == {0: ["a\uffffb one。\uffff 1. two \uffff"], 1: ["\uffff"]}
+    assert pieces(T.outline_units(docs(spark, ["x。 1. a\uffff b"]), 4), "unit_ord", "unit") == {0: ["x。", "1. a\uffff b"]}
+
+
 def pack(sizes, budget):
     groups, total = [], None
     for i, n in enumerate(sizes):
