@@ -15,6 +15,9 @@ from relmill.plans.store import stored
 
 __all__ = ["BATCH_ROWS", "WordCodes", "bounded_batches", "held_out", "numbered", "table", "stored", "with_columns"]
 
+# a worker gives the memory of a batch back at once, which the default pool keeps
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Rows and bytes of an Arrow batch. A batch holds whole texts; one text may be larger than this.
 BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
