@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relmill.functions.rows import inline, posexplode
-from relmill.functions.text import compact, contains, key_part, let, strip, text_of, unique_values
+from relmill.functions.text import compact, contains, key_part, let, null_if_empty, strip, text_of, unique_values
 
 MATCH_TYPE = (
     "struct<section_id:string,page:int,global_block_id:int,bbox:array<double>,content:string>"
@@ -67,14 +67,33 @@ def matches_of(head: Column, tail: Column, evidence: Column, sections: Column) -
     )
 
 
+def name_of(row: Column, fields: Sequence[str], first: str, other: str) -> Column:
+    """A relation's name, under whichever of two field names it has one; empty if it has none."""
+    given = [null_if_empty(text_of(row[f])) for f in (first, other) if f in fields]
+    return F.coalesce(*given, F.lit(""))
+
+
 def with_matches(
     batches: DataFrame, relations: str = "relations", keep: tuple[str, ...] = ("doc_id", "batch_index")
 ) -> DataFrame:
     """One row per relation of each batch row (``sections`` + relation array) with ``matches``.
 
     The relations of a batch come from the reply to that batch, so both sit in one row and
-    no join on text is needed.
+    no join on text is needed. They are matched there, as an array: what becomes rows is the
+    relation with the paragraphs it matched, not the sections of the batch. A relation names
+    its ends ``head`` and ``tail`` or ``subject`` and ``object``.
     """
+    fields = batches.schema[relations].dataType.elementType.fieldNames()
+
+    def matched(sections: Column) -> Column:
+        return F.transform(
+            F.array_compact(relations),
+            lambda r: F.struct(
+                r.alias("r"),
+                matches_of(name_of(r, fields, "head", "subject"), name_of(r, fields, "tail", "object"), r["evidence"], sections).alias("m"),
+            ),
+        )
+
     prepared = batches.select(
         *keep,
         "section_ids",
@@ -82,28 +101,12 @@ def with_matches(
         unique_values(
             F.flatten(F.transform("sections", lambda s: F.array(s["page_start"], s["page_end"])))
         ).alias("_pages"),
-        searchable(F.col("sections")).alias("_sections"),
-        F.array_compact(relations).alias("_relations"),
+        let(searchable(F.col("sections")), matched).alias("_matched"),
     )
     rows = prepared.select(
-        *keep,
-        "section_ids",
-        "block_ids",
-        "_pages",
-        "_sections",
-        posexplode("_relations").alias("relation_ord", "_r"),
-    )
-    return rows.select(
-        *keep,
-        "relation_ord",
-        "_r.*",
-        matches_of(
-            F.col("_r.head"), F.col("_r.tail"), F.col("_r.evidence"), F.col("_sections")
-        ).alias("matches"),
-        "section_ids",
-        "block_ids",
-        "_pages",
+        *keep, "section_ids", "block_ids", "_pages", posexplode("_matched").alias("relation_ord", "_r")
     )
+    return rows.select(*keep, "relation_ord", "_r.r.*", F.col("_r.m").alias("matches"), "section_ids", "block_ids", "_pages")
 
 
 def match_paragraphs(
@@ -119,8 +122,12 @@ def match_paragraphs(
 def attach_sources(
     batches: DataFrame, relations: str = "relations", keep: tuple[str, ...] = ("doc_id", "batch_index")
 ) -> DataFrame:
-    """Relations with their source arrays; unmatched ones get the values of their batch."""
+    """Relations with their source arrays; unmatched ones get the values of their batch.
+
+    The fields of the relations stay as they are named.
+    """
     rows = with_matches(batches, relations, keep)
+    fields = batches.schema[relations].dataType.elementType.fieldNames()
     matched = F.size("matches") > 0
 
     def distinct_of(field: str) -> Column:
@@ -129,11 +136,7 @@ def attach_sources(
     return rows.select(
         *keep,
         "relation_ord",
-        "head",
-        "relation",
-        "tail",
-        "evidence",
-        "skill",
+        *fields,
         F.when(matched, distinct_of("section_id")).otherwise(F.col("section_ids")).alias(SOURCES[0]),
         F.when(matched, distinct_of("page")).otherwise(F.col("_pages")).alias(SOURCES[1]),
         F.when(matched, distinct_of("global_block_id")).otherwise(F.col("block_ids")).alias(SOURCES[2]),
@@ -149,14 +152,17 @@ def dedup_document(
 ) -> DataFrame:
     """One row per (head, predicate, tail, evidence), whitespace- and case-free.
 
+    ``subject`` and ``object`` stand in for an empty or missing head and tail.
+
     The first row is kept and the four source arrays are united in first-seen order. Every
     array value is first reduced to its earliest position per key (map-side), so a key
     repeated millions of times collects no more than its distinct sources.
     """
-    parts = ("head", "relation", "tail", "evidence")
+    own_of = lambda first, other: F.coalesce(*[null_if_empty(text_of(F.col(c))) for c in (first, other) if c in df.columns], F.lit(""))
+    parts = [own_of("head", "subject"), F.col("relation"), own_of("tail", "object"), F.col("evidence")]
     # the parts hold no whitespace, so a line break separates them; the digest keeps the
     # key short in both shuffles
-    digest = F.unhex(F.sha2(F.concat_ws("\n", *[key_part(F.col(c)) for c in parts]), 256))
+    digest = F.unhex(F.sha2(F.concat_ws("\n", *[key_part(c) for c in parts]), 256))
     keys = ["_key"]
     keyed = df.withColumn("_key", digest)
     types = [df.schema[name].dataType for name in SOURCES]

@@ -193,6 +193,18 @@ def test_provenance_values(spark):
     assert (hit["source_pages"], miss["source_pages"]) == ([], [1])
     twice = V.attach_sources(df.union(df.withColumn("batch_index", F.lit(1))))
     assert V.dedup_document(twice.drop("batch_index")).count() == 3
+    # the same under the other names, and where both are there an empty head gives way to the subject
+    other = df.withColumn("relations", F.transform("relations", lambda r: F.struct(
+        r["head"].alias("subject"), r["relation"].alias("relation"), r["tail"].alias("object"), r["evidence"].alias("evidence"))))
+    named = V.attach_sources(other).orderBy("relation_ord")
+    assert [[m["content"] for m in r["source_paragraphs"]] for r in named.collect()] == found and "subject" in named.columns
+    both = df.withColumn("relations", F.transform("relations", lambda r: r.withField("subject", r["head"]).withField("head", F.lit(""))))
+    assert [[m["content"] for m in r["source_paragraphs"]] for r in V.attach_sources(both).orderBy("relation_ord").collect()] == found
+    mixed = V.attach_sources(other.union(other.withColumn("batch_index", F.lit(1))))
+    assert V.dedup_document(mixed.drop("batch_index")).count() == 3
+    plan = V.attach_sources(df)._jdf.queryExecution().optimizedPlan().toString()
+    generator = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "sections#" not in generator
 
 
 def test_aliases_longest_first(spark):
