@@ -146,7 +146,8 @@ def scan_samples(
         return parsed
     if not skip_empty:
         return parsed.filter(F.col("sample_index") < limit)
-    return parsed.filter(F.col("sample_index") <= _last_index(parsed, limit))
+    # the rows come in order, dealt by ranges instead of through one task
+    return parsed.filter(F.col("sample_index") <= _last_index(parsed, limit)).orderBy("sample_index")
 
 
 def _last_index(parsed: DataFrame, limit: int) -> int:
