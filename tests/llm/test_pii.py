@@ -109,6 +109,33 @@ def test_field_adds_variants_and_spares_numbers(spark):
         assert pii.all_spans(text, weights) == ([], [])
 
 
+def test_long_zones_are_cut_as_one(monkeypatch):
+    """Blocks of any size give the cut that the whole zone gives, and lists of numbers lose none at a border."""
+    rng = np.random.default_rng(7)
+    weights = rng.normal(size=(pii.N_FEATURES, 4)) * 2
+    text = " ".join("".join(rng.choice(list("12.-@ a(+)"), size=9)) for _ in range(60))
+    whole = pii.best_segments(text, weights)
+    assert whole
+    for size in (1, 7, 40):
+        monkeypatch.setattr(pii, "_BLOCK", size)
+        assert pii.best_segments(text, weights) == whole
+
+
+def test_dense_lists_lose_no_number(spark):
+    weights = pii.fit(spark.createDataFrame(people(150, 1), SCHEMA))
+    rnd = random.Random(3)
+    numbers = [f"{rnd.randint(200, 999)}-{rnd.randint(200, 999)}-{rnd.randint(1000, 9999)}" for _ in range(3000)]
+    text = "call " + " or ".join(numbers) + " please"
+    assert pii.zones_of(text, []) == [(0, len(text))]
+    base, added = pii.all_spans(text, weights)
+    assert not base and [text[a:b] for _, a, b in added] == numbers
+
+
+def test_longest_variant_is_one_segment():
+    card = " . ".join(["4111"] * 4 + ["111"])
+    assert pii.Zone(card).segment(0, len(card)) is not None
+
+
 def test_odd_rows(spark):
     weights = pii.fit(spark.createDataFrame(people(60, 1), SCHEMA))
     odd = [(1, None), (2, ""), (3, "é 🙂 x@y.zz"), (3, "é 🙂 x@y.zz"), (None, "10.0.0.1"), (2**60 + 1, "quiet " * 50_000 + "+1 415 555 2671")]
