@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import bounded_batches, numbered, stored, with_columns
+from relmill.llm.common import bounded_batches, stored, with_columns
 
 LENGTH, GRAM, CELL = 400, 160, 16
 #: Starts that are hashed together; bounds the memory of a long text.
@@ -149,23 +149,34 @@ def _split_places(grams: np.ndarray, least: np.ndarray, low: np.ndarray, high: n
     return np.concatenate(lows), np.concatenate(highs), np.concatenate(places)
 
 
-_RUNS = "_row long, bucket long, content long, low long, high long, place long"
-_RUNS_ARROW = pa.schema([(n, pa.int64()) for n in ("_row", "bucket", "content", "low", "high", "place")])
+#: What names a row: the same in every computation, whatever the splits of the scan. Rows that share it are equal.
+KEY = ["_id", "_hash"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, _id, _hash) of ``docs`` (doc_id, text): 128 bits that depend on both values alone."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("*", F.coalesce("doc_id", F.xxhash64(F.lit(7), "text")).alias("_id"), F.xxhash64("doc_id", "text").alias("_hash"))
+
+
+_RUNS = "_id long, _hash long, bucket long, content long, low long, high long, place long"
+_RUNS_ARROW = pa.schema([(n, pa.int64()) for n in (*KEY, "bucket", "content", "low", "high", "place")])
 
 
 def _run_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for *key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for part in runs((text or "").encode("utf-8", "surrogatepass"), length, gram):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), row)), *map(pa.array, part)], schema=_RUNS_ARROW)
+                    named = [pa.array(np.full(len(part[0]), k)) for k in key]
+                    yield pa.RecordBatch.from_arrays([*named, *map(pa.array, part)], schema=_RUNS_ARROW)
 
-    return bounded_batches(docs.select("_row", "text")).mapInArrow(make, _RUNS)
+    return bounded_batches(docs.select(*KEY, "text")).mapInArrow(make, _RUNS)
 
 
-_CELLS = "_row long, r1 long, r2 long, start long, first int, last int, head binary, tail binary"
+_CELLS = "_id long, _hash long, r1 long, r2 long, start long, first int, last int, head binary, tail binary"
 _CELLS_ARROW = pa.schema(
-    [("_row", pa.int64()), ("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("head", pa.binary()), ("tail", pa.binary())]
+    [*((n, pa.int64()) for n in KEY), ("r1", pa.int64()), ("r2", pa.int64()), ("start", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("head", pa.binary()), ("tail", pa.binary())]
 )
 
 
@@ -188,21 +199,21 @@ def cells(raw: bytes, low: int, high: int, place: int, length: int, cell: int) -
 
 
 def _cell_rows(texts: DataFrame, length: int, cell: int) -> DataFrame:
-    """Cells of the runs listed with each text: ``texts`` (_row, text, asked array of low, high, place)."""
+    """Cells of the runs listed with each text: ``texts`` (_id, _hash, text, asked array of low, high, place)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            for *key, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode("utf-8", "surrogatepass")
                 found = [c for a in asked for c in cells(raw, a["low"], a["high"], a["place"], length, cell)]
-                cols = list(zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, _CELLS_ARROW.types[1:]))], schema=_CELLS_ARROW)
+                cols = [[k] * len(found) for k in key] + list(zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CELLS_ARROW.types)], schema=_CELLS_ARROW)
 
-    return bounded_batches(texts.select("_row", "text", "asked")).mapInArrow(make, _CELLS)
+    return bounded_batches(texts.select(*KEY, "text", "asked")).mapInArrow(make, _CELLS)
 
 
 def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cell: int = CELL) -> DataFrame:
-    """(_row, start, end): byte ranges of ``rows`` (_row, text), a stored table, that repeated strings cover; they may overlap."""
+    """(_id, _hash, start, end): byte ranges of ``rows``, as ``keyed`` makes them, that repeated strings cover; they may overlap."""
     if not 1 < cell <= gram < length:
         raise ValueError("1 < cell <= gram < length must hold")
     all_runs = stored(_run_rows(rows, length, gram))
@@ -211,20 +222,20 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cel
     shared = stored(all_runs.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     live = stored(all_runs.join(shared, "bucket", "left_semi"))
     same = ["bucket", "content"]
-    where = F.struct("_row", "low", "high", "place")
+    where = F.struct(*KEY, "low", "high", "place")
     classes = stored(live.groupBy(*same).agg(F.count("*").alias("n"), F.min(where).alias("at")))
     # its classes must be compared if they are several
     buckets = classes.groupBy("bucket").agg(F.count("*").alias("kinds"))
-    whole = live.join(classes.where("n > 1").select(*same), same, "left_semi").select("_row", F.col("low").alias("start"), (F.col("high") + length).alias("end"))
+    whole = live.join(classes.where("n > 1").select(*same), same, "left_semi").select(*KEY, F.col("low").alias("start"), (F.col("high") + length).alias("end"))
 
     open_ = classes.join(buckets.where("kinds > 1").select("bucket"), "bucket", "left_semi")
-    asked = open_.select("at.*").groupBy("_row").agg(F.collect_list(F.struct("low", "high", "place")).alias("asked"))
-    made = stored(_cell_rows(rows.join(asked, "_row"), length, cell))
+    asked = open_.select("at.*").groupBy(*KEY).agg(F.collect_list(F.struct("low", "high", "place")).alias("asked"))
+    made = stored(_cell_rows(rows.join(asked, KEY), length, cell))
     # runs that were settled above stand here once; the classes' counts tell that they repeat anyway
     flank = ["r1", "r2", "first", "last", "head", "tail"]
-    kinds = stored(made.groupBy(*flank).agg(F.count("*").alias("n"), F.min(F.struct("_row", "start")).alias("at")))
+    kinds = stored(made.groupBy(*flank).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "start")).alias("at")))
     equal = made.join(kinds.where("n > 1").select(*flank), flank, "left_semi").select(
-        "_row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("end")
+        *KEY, (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + length).alias("end")
     )
     # only where a core stands between different bytes are its suffixes told apart
     mixed = kinds.groupBy("r1", "r2").agg(F.count("*").alias("k")).where("k > 1").select("r1", "r2")
@@ -236,15 +247,15 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, cel
     key = ["r1", "r2", "t", "before", "behind"]
     twice = suffixes.groupBy(*key).agg(F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1").select(*key)
     single = suffixes.where("n = 1").join(twice, key, "left_semi").select(
-        F.col("at._row").alias("_row"), (F.col("at.start") + F.col("t")).alias("start"), (F.col("at.start") + F.col("t") + length).alias("end")
+        *[F.col(f"at.{n}") for n in KEY], (F.col("at.start") + F.col("t")).alias("start"), (F.col("at.start") + F.col("t") + length).alias("end")
     )
     return whole.unionByName(equal).unionByName(single)
 
 
-def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of ranges, as ranges that don't touch."""
     out: list[list[int]] = []
-    for a, b in sorted(zip(starts, ends)):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -258,18 +269,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cell
     Texts count as UTF-8 bytes, null as empty; strings don't cross texts. ``kept`` is what
     remains (it may cut a character); ``n_spans`` counts maximal removed runs. Rows that
     repeat are copies of each other and go whole if they have ``length`` bytes. Ids may
-    repeat or be null. ``docs`` is read once and written with its row numbers, which three jobs share.
+    repeat or be null. ``docs`` is read three times and not copied: rows are named by their values.
     """
-    rows = stored(numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))))
+    rows = keyed(docs)
     ranges = repeated_ranges(rows, length, gram, cell)
-    lists = ranges.groupBy("_row").agg(F.collect_list("start").alias("_a"), F.collect_list("end").alias("_b"))
-    told = rows.join(lists, "_row", "left").select("doc_id", F.struct("text", "_a", "_b").alias("_t"))
+    # as a set, since rows that repeat name the same ranges
+    lists = ranges.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("_gone"))
+    told = rows.join(lists, KEY, "left").select("doc_id", F.struct("text", "_gone").alias("_t"))
 
     def cut(values: list[dict]) -> list[list]:
         out = []
         for v in values:
             raw = (v["text"] or "").encode("utf-8", "surrogatepass")
-            gone = merged(v["_a"] or [], v["_b"] or [])
+            gone = merged([(r["start"], r["end"]) for r in v["_gone"] or []])
             ends = [0, *(b for _, b in gone)]
             kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(raw)]))
             out.append((len(raw), len(raw) - len(kept), len(gone), kept))

@@ -91,6 +91,15 @@ def test_odd_rows(spark):
     assert sd.remove_repeats(df.where("false")).count() == 0
 
 
+def test_rows_that_repeat_without_an_id(spark):
+    """They share a name, and the result is that of any other copies."""
+    p, q = "".join(map(str, range(200))), "".join(map(str, range(900, 1200)))
+    texts = [p + q, p + q, p + "x" + q[:300], q[:410] + "y", None, None, "", ""]
+    df = spark.createDataFrame([(None, t) for t in texts], SCHEMA)
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in sd.remove_repeats(df).collect())
+    assert got == sorted(plain(texts, 400))
+
+
 def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip((d.doc_id for d in docs), plain([d.text for d in docs], 400)))
