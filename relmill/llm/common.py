@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -41,14 +40,6 @@ _ARROW = {
 }
 
 
-def trim() -> None:
-    """Gives what a worker's task has freed back to the system; workers live on and share an executor's memory."""
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def with_columns(
     df: DataFrame, source: str, fields: dict[str, str], make: Callable[[list], Sequence[Sequence]], drop: bool = True
 ) -> DataFrame:
@@ -66,7 +57,6 @@ def with_columns(
             kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != source or not drop]
             new = [(n, pa.array(v, _ARROW[t])) for (n, t), v in zip(fields.items(), made)]
             yield pa.RecordBatch.from_arrays([c for _, c in kept + new], [n for n, _ in kept + new])
-        trim()
 
     return bounded_batches(df).mapInArrow(run, schema)
 
