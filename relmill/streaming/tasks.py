@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -76,6 +78,39 @@ def task_results(requests: DataFrame, latest: DataFrame, results: DataFrame) ->
     )
 
 
+def failing_tasks(
+    batch: DataFrame, transform: Callable[[DataFrame], DataFrame], key: Column, limit: int
+) -> dict[str, str]:
+    """Tasks on which ``transform`` fails, with the first line of the error.
+
+    Parts that fail are halved by a bit of the task hash until one task is left: about twice
+    the logarithm of the batch runs per failing task. A plan that can't be analysed is nobody's
+    failure and raised; so is the last error where more than ``limit`` tasks fail.
+    """
+    key = key.cast("string")
+    found: dict[str, str] = {}
+    parts = [(batch, 0)]
+    while parts:
+        rows, bit = parts.pop()
+        ids = [r[0] for r in rows.select(key.alias("k")).distinct().limit(2).collect()]
+        if not ids:
+            continue
+        try:
+            transform(rows).write.format("noop").mode("overwrite").save()
+            continue
+        except AnalysisException:
+            raise
+        except (PySparkException, Py4JJavaError) as error:
+            if len(ids) == 1:
+                found[ids[0]] = next((x for x in str(error).splitlines() if x.strip()), "failed")
+                if len(found) > limit:
+                    raise
+                continue
+        side = F.shiftright(F.xxhash64(key), bit).bitwiseAND(1)
+        parts += [(rows.filter(side == s), bit + 1) for s in (0, 1)]
+    return found
+
+
 def stream_documents(
     spark: SparkSession,
     path: str,
@@ -89,32 +124,48 @@ def stream_documents(
     text: str = "text",
     options: dict[str, str] | None = None,
     available_now: bool = True,
+    max_failures: int = 100,
 ) -> StreamingQuery:
     """Run a batch transform over arriving document files.
 
-    Documents without text go to ``{out}/errors`` and never stop the stream. Outputs are
-    keyed by the micro-batch number and overwritten on a retry, so a batch that is
-    replayed after a failure leaves no duplicates.
+    Documents without text, and those on which the transform fails, go to ``{out}/errors``
+    and never stop the stream; only where more than ``max_failures`` of a micro-batch fail,
+    it stops and the batch is run again at the next start. Outputs are keyed by the
+    micro-batch number and overwritten on a retry, so a batch that is replayed after a
+    failure leaves no duplicates.
     """
     reader = spark.readStream.schema(schema).format(file_format)
     source = reader.option("maxFilesPerTrigger", max_files).options(**(options or {})).load(path)
+    key = F.col(task).cast("string")
 
     def land(batch: DataFrame, number: int) -> None:
-        bad = is_blank(F.col(text))
-        outputs = {
-            "results": transform(batch.filter(~bad)),
-            "errors": batch.filter(bad).select(task, F.lit("empty document").alias("error")),
-            "status": status_log(
-                batch.select(
-                    F.col(task).cast("string").alias("task_id"),
-                    F.when(bad, "failed").otherwise("completed").alias("stage"),
-                    F.when(bad, "empty document").alias("error"),
-                    F.current_timestamp().alias("updated_at"),
-                )
-            ),
-        }
-        for name, table in outputs.items():
-            table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        def folder(name: str) -> str:
+            return f"{out}/{name}/batch={number}"
+
+        live = batch.filter(~is_blank(F.col(text)))
+        failed: dict[str, str] = {}
+        try:
+            transform(live).write.mode("overwrite").parquet(folder("results"))
+        except AnalysisException:
+            raise
+        except (PySparkException, Py4JJavaError):
+            failed = failing_tasks(live, transform, key, max_failures)
+            good = live.filter(~F.coalesce(key.isin(list(failed)), F.lit(False)))
+            transform(good).write.mode("overwrite").parquet(folder("results"))
+        reasons = F.create_map(*[F.lit(x) for pair in failed.items() for x in pair]).cast("map<string,string>")
+        error = F.when(is_blank(F.col(text)), "empty document").otherwise(F.try_element_at(reasons, key))
+        states = batch.select(
+            key.alias("task_id"),
+            F.when(error.isNotNull(), "failed").otherwise("completed").alias("stage"),
+            error.alias("error"),
+            F.current_timestamp().alias("updated_at"),
+        )
+        status_log(states).write.mode("overwrite").parquet(folder("status"))
+        # narrow rows, read back instead of the texts
+        log = batch.sparkSession.read.parquet(folder("status"))
+        log.filter("stage = 'failed'").select(
+            F.col("task_id").cast(batch.schema[task].dataType).alias(task), "error"
+        ).write.mode("overwrite").parquet(folder("errors"))
 
     writer = source.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -244,6 +244,31 @@ def test_stream_survives_empty_documents(spark, tmp_path):
     assert status == {"1": "succeeded", "2": "failed"}
 
 
+def test_stream_survives_failing_documents(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(i, f"text {i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(source)
+
+    def transform(docs):
+        broken = F.raise_error(F.concat(F.lit("no way with "), F.col("text"))).cast("string")
+        return docs.select("doc_id", F.when(F.col("doc_id").isin(7, 31), broken).otherwise(F.col("text")).alias("t"))
+
+    for run in range(2):
+        # the second run replays the same micro-batch
+        query = W.stream_documents(spark, source, "doc_id long, text string", transform, out, str(tmp_path / f"cp{run}"))
+        query.awaitTermination()
+        errors = {r["doc_id"]: r["error"] for r in spark.read.parquet(f"{out}/errors").collect()}
+        assert set(errors) == {7, 31} and all(errors.values())
+        done = sorted(r["doc_id"] for r in spark.read.parquet(f"{out}/results").collect())
+        assert done == [i for i in range(40) if i not in (7, 31)]
+        status = [r["status"] for r in spark.read.parquet(f"{out}/status").collect()]
+        assert sorted(status) == ["failed"] * 2 + ["succeeded"] * 38
+    with pytest.raises(Exception):
+        W.stream_documents(
+            spark, source, "doc_id long, text string", transform, out, str(tmp_path / "cp2"), max_failures=1
+        ).awaitTermination()
+
+
 def test_latest_status_as_a_stream(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = [("a", "queued", 1), ("a", "document_merge", 3), ("b", "failed", 2), ("a", "layout_parsing", 2)]
