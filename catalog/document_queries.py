@@ -8,25 +8,30 @@ from catalog.inputs import (
     BLOCKS,
     LEXICON,
     LINES,
+    RANKED,
     RELATIONS,
     SECTION_STARTS,
     STATUS,
     block_docs,
     lexicon_skills,
+    outline_docs,
     page_docs,
     q,
     relation_docs,
+    scores_ctes,
     sql_compact,
     sql_strip,
+    sql_tokens,
     stage_changes,
     table,
     with_ctes,
     work_dir,
 )
 from catalog.registry import query
-from catalog.section_queries import CHAPTERS, sections
+from catalog.routing_queries import NEEDS
+from catalog.section_queries import CHAPTERS, FLAT_SQL, MAX_TOKENS, PARAGRAPHS, _fixed, _guarded, flat, sections
 from catalog.text_queries import _pieces, sql_clean_images, sql_sentences
-from relmill.config import RunConfig
+from relmill.config import RunConfig, SplitConfig
 from relmill.functions.text import doc_hash
 from relmill.operators import batches as B
 from relmill.operators import layout as O
@@ -37,7 +42,7 @@ from relmill.operators import routing as G
 from relmill.operators import skills as R
 from relmill.operators import text as T
 from relmill.operators.responses import RELATION_TYPE
-from relmill.plans import corpus
+from relmill.plans import corpus, product
 from relmill.sources import scans as S
 from relmill.sources import sinks as K
 from relmill.streaming import tasks as W
@@ -493,6 +498,79 @@ def prompt_table(spark, sf_dir):
     return corpus.prepare(docs, lexicon_skills(), RunConfig(chunk_trigger=200, chunk_budget=100)).prompts
 
 
+# ---- product run ------------------------------------------------------------------------------
+SPLIT = SplitConfig(max_batch_tokens=MAX_TOKENS)
+SMALL_BATCHES = (*SECTION_STARTS, *PARAGRAPHS, _fixed(1, "singles"), *_guarded("singles", "small_section"))
+
+
+def product_intake(spark, sf_dir):
+    """Layout results with one page per paragraph, nothing restructured."""
+    outline = outline_docs(spark, sf_dir)
+    page = lambda t, i: F.struct((i + 1).alias("page_index"), F.lit("{}").alias("pruned_result"), t.alias("markdown_text"))
+    layout = outline.select(
+        "doc_id", F.transform(F.split("text", "\n\n"), page).alias("pages"),
+        F.lit(None).cast(restructured_docs(spark, sf_dir).schema["restructured"].dataType).alias("restructured"),
+    )
+    return product.intake(layout, SPLIT)
+
+
+@query("v10_product_batches", with_ctes(*SMALL_BATCHES) + FLAT_SQL)
+def product_batches(spark, sf_dir):
+    return flat(product_intake(spark, sf_dir).batches)
+
+
+@query(
+    "v10_product_prompts",
+    with_ctes(
+        *SMALL_BATCHES,
+        """units AS (SELECT doc_id || '/' || (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) AS doc_id, text FROM final)""",
+        *scores_ctes("units", "doc_id", "text"),
+        RANKED,
+        NEEDS,
+        f"""asks AS (SELECT doc_id, text, s1 < 3 OR (s2 >= 1 AND s1 - s2 < 1) AS routed, {sql_tokens('text')} > 30 AS long
+          FROM units JOIN needs USING (doc_id))""",
+    )
+    + """SELECT min(doc_id) AS unit_id, 'router' AS kind, 4200 AS max_tokens FROM asks WHERE routed GROUP BY text
+      UNION ALL SELECT doc_id, 'coref', 4200 FROM asks WHERE long
+      UNION ALL SELECT doc_id, 'extraction', 4200 FROM asks WHERE NOT routed AND NOT long""",
+)
+def product_prompts(spark, sf_dir):
+    """What the first turn asks: a batch without open routes and aliases is extracted at once."""
+    config = RunConfig(chunk_trigger=30, chunk_budget=20, backend="other")
+    turn = product.advance(product_intake(spark, sf_dir), lexicon_skills(), config)
+    return turn.prompts.select("unit_id", "kind", "max_tokens")
+
+
+@query("v10_document_results")
+def document_results(spark, sf_dir):
+    """The last turn: every prompt has its reply, and batches become documents."""
+    taken = product_intake(spark, sf_dir)
+    unit = F.col("unit_id")
+    words = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " +"), lambda w: w != "")
+    item = F.to_json(
+        F.struct(
+            F.get(words, F.lit(0)).alias("head"), F.lit("位于").alias("relation"), F.element_at(words, -1).alias("tail"),
+            F.get(F.split("text", "\n"), F.lit(0)).alias("evidence"), F.lit("english").alias("skill"),
+        )
+    )
+    prompts = {
+        "router": (F.concat(F.lit("router/"), doc_hash(F.col("text"))), F.lit(None).cast("string")),
+        "extraction": (
+            corpus.prompt_key("extraction", unit, F.lit(0)),
+            F.concat(F.lit('{"relation_list":['), F.when(F.size(words) > 1, item).otherwise(""), F.lit("]}")),
+        ),
+    }
+    answers = F.array(*[F.struct(i.alias("prompt_id"), F.lit(k).alias("kind"), r.alias("reply")) for k, (i, r) in prompts.items()])
+    ledger = taken.batches.select(F.inline(answers))
+    config = RunConfig(chunk_trigger=1_000_000, fast_mode=True)
+    turn = product.advance(taken, lexicon_skills(), config, ledger)
+    return product.document_results(taken, turn.batches, SPLIT, config).select(
+        "task_id", "stage", "error", "document_meta.page_count", "ocr_summary.relation_section_count", "ocr_summary.relation_batch_count",
+        "ocr_summary.relation_count", F.array_join("routing.selected_skills", ",").alias("skills"),
+        F.to_json("final_relation_list").alias("relations"),
+    )
+
+
 # ---- sources --------------------------------------------------------------------------------
 def nation_skills(spark, sf_dir):
     """One skill per nation, its keywords the market segments of its customers."""
@@ -834,6 +912,28 @@ def stream_documents(spark, sf_dir):
     return spark.read.parquet(f"{out}/results").drop("batch")
 
 
+@query(
+    "w1_failing_document",
+    f"""SELECT CAST(doc_id AS VARCHAR) AS task_id, CASE WHEN doc_id = 1 OR {sql_strip('text')} = '' THEN 'failed' ELSE 'succeeded' END AS status,
+      CAST(CASE WHEN doc_id = 1 OR {sql_strip('text')} = '' THEN 0 ELSE length(text) END AS INTEGER) AS n FROM documents""",
+)
+def failing_document(spark, sf_dir):
+    """The transform raises on one document; the others have their results."""
+    out, checkpoint = work_dir(spark), work_dir(spark)
+
+    def transform(batch):
+        n = F.when(F.col("doc_id") == 1, F.raise_error(F.lit("unreadable")).cast("int")).otherwise(F.char_length("text"))
+        return batch.select(F.col("doc_id").cast("string").alias("task_id"), n.alias("n"))
+
+    W.stream_documents(
+        spark, sf_dir, "doc_id long, text string, lang string, source string, n_chars long", transform, out, checkpoint,
+        options={"pathGlobFilter": "documents.parquet"},
+    ).awaitTermination()
+    status = spark.read.parquet(f"{out}/status").select("task_id", "status")
+    results = spark.read.parquet(f"{out}/results").select("task_id", "n")
+    return status.join(results, "task_id", "left").fillna(0, ["n"])
+
+
 @query(
     "w2_status_log",
     with_ctes(STATUS) + "SELECT task_id, stage, status, progress, error, result_ready, updated_at FROM log",
