@@ -898,6 +898,10 @@ def export_document_json(spark, sf_dir):
 
 
 # ---- tasks --------------------------------------------------------------------------------------
+#: A pattern, as a stream takes a plain path for a folder: the table is one file or a folder of files.
+DOCUMENT_FILES = "{}/{{documents.parquet}}"
+
+
 @query(
     "w1_stream_documents",
     _pieces(sql_sentences("text"), "sentence", "sentence_ord", f"(SELECT * FROM documents WHERE {sql_strip('text')} <> '')"),
@@ -905,8 +909,8 @@ def export_document_json(spark, sf_dir):
 def stream_documents(spark, sf_dir):
     out, checkpoint = work_dir(spark), work_dir(spark)
     stream = W.stream_documents(
-        spark, sf_dir, "doc_id long, text string, lang string, source string, n_chars long",
-        lambda batch: T.split_sentences(batch), out, checkpoint, options={"pathGlobFilter": "documents.parquet"},
+        spark, DOCUMENT_FILES.format(sf_dir), "doc_id long, text string, lang string, source string, n_chars long",
+        lambda batch: T.split_sentences(batch), out, checkpoint,
     )
     stream.awaitTermination()
     return spark.read.parquet(f"{out}/results").drop("batch")
@@ -926,8 +930,8 @@ def failing_document(spark, sf_dir):
         return batch.select(F.col("doc_id").cast("string").alias("task_id"), n.alias("n"))
 
     W.stream_documents(
-        spark, sf_dir, "doc_id long, text string, lang string, source string, n_chars long", transform, out, checkpoint,
-        options={"pathGlobFilter": "documents.parquet"},
+        spark, DOCUMENT_FILES.format(sf_dir), "doc_id long, text string, lang string, source string, n_chars long",
+        transform, out, checkpoint,
     ).awaitTermination()
     status = spark.read.parquet(f"{out}/status").select("task_id", "status")
     results = spark.read.parquet(f"{out}/results").select("task_id", "n")

@@ -324,3 +324,24 @@ def test_limit_counts_only_texts(spark, tmp_path, monkeypatch):
     (tmp_path / "none").mkdir()
     (tmp_path / "none" / "a.txt").write_text("")
     assert S.scan_samples(spark, str(tmp_path / "none"), 5, skip_empty=True).collect() == []
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_streams_read_a_file_or_a_folder(spark, tmp_path, as_folder):
+    import shutil
+
+    from catalog import document_queries as Q
+
+    docs = spark.createDataFrame(
+        [(i, f"One two {i}. Three four.", "en", "s", 20) for i in range(6)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    path = tmp_path / "documents.parquet"
+    docs.repartition(3).write.parquet(str(path if as_folder else tmp_path / "written"))
+    if not as_folder:
+        docs.coalesce(1).write.parquet(str(tmp_path / "single"))
+        shutil.copy(next((tmp_path / "single").glob("part-*.parquet")), path)
+    sentences = Q.stream_documents(spark, str(tmp_path))
+    assert sentences.count() == 12 and sentences.select("doc_id").distinct().count() == 6
+    states = {r["task_id"]: (r["status"], r["n"]) for r in Q.failing_document(spark, str(tmp_path)).collect()}
+    assert states == {str(i): ("failed", 0) if i == 1 else ("succeeded", 22) for i in range(6)}
