@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from relmill.functions.text import is_blank
+from relmill.plans.store import stored
 
 # ---- fixed values: stage → status, progress ---------------------------------------------
 STAGES = {
@@ -84,7 +85,7 @@ def failing_tasks(
     """Tasks on which ``transform`` fails, with the first line of the error.
 
     Parts that fail are halved by a bit of the task hash until one task is left: about twice
-    the logarithm of the batch runs per failing task. A plan that can't be analysed is nobody's
+    the logarithm of the batch runs per failing task, each on half the rows. A plan that can't be analysed is nobody's
     failure and raised; so is the last error where more than ``limit`` tasks fail.
     """
     key = key.cast("string")
@@ -106,6 +107,8 @@ def failing_tasks(
                 if len(found) > limit:
                     raise
                 continue
+        # a part is read from its own table, so that all halvings together read the batch about twice
+        rows = stored(rows)
         side = F.shiftright(F.xxhash64(key), bit).bitwiseAND(1)
         parts += [(rows.filter(side == s), bit + 1) for s in (0, 1)]
     return found
