@@ -24,9 +24,8 @@ WS_CHARS = (
 )
 EDGE_PUNCT = " ，。；：,.;"
 CJK_CHAR = r"[\x{4E00}-\x{9FFF}]"
-LATIN_WORD = r"[A-Za-z0-9_+\-]+"
+LATIN_START = r"(?<![A-Za-z0-9_+\-])[A-Za-z0-9_+\-]"
 TOKEN_PUNCT = "，。！？；：,.!?;:（）()【】[]“”\"'、-"
-SENTINEL = "\uffff"  # stands for a word while words are counted
 # -------------------------------------------------------------------------------------
 
 
@@ -84,11 +83,10 @@ def approx_tokens(c: Column) -> Column:
     size = F.char_length(c)
     cjk = size - F.char_length(F.regexp_replace(c, CJK_CHAR + "+", ""))
     punct = size - F.char_length(F.translate(c, TOKEN_PUNCT, ""))
-    # every word shrinks to one marker, then only the markers are left to count
-    # (one that the text holds itself is no word)
-    words = F.regexp_replace(F.regexp_replace(F.translate(c, SENTINEL, " "), LATIN_WORD, SENTINEL), f"[^{SENTINEL}]+", "")
+    # a word counts by its first character; plain ASCII has no CJK characters to look for
+    words = size - F.char_length(F.regexp_replace(c, LATIN_START, ""))
     return (
-        cjk + F.char_length(words) + F.greatest(F.lit(1), F.floor(punct / 4).cast("int"))
+        F.when(F.octet_length(c) == size, 0).otherwise(cjk) + words + F.greatest(F.lit(1), F.floor(punct / 4).cast("int"))
     ).cast("int")
 
 

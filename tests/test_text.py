@@ -168,3 +168,15 @@ def test_file_names(spark):
     names = {"plan.txt": "plan.txt", "up/../down/map.png": "map.png", "D:\\x\\y.doc": "y.doc", "c:d\x02e.md": "c_d_e.md", "tab\there": "tab_here", "...": "upload", "  ": "upload"}
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", safe_filename(F.col("n")).alias("s"))
     assert {r["n"]: r["s"] for r in df.collect()} == names
+
+
+def test_tokens_are_counted_in_few_passes(spark):
+    """The count is taken of every text several times, so it may not walk it more often than it must."""
+    rows = [("a b", 3), ("a-b +c_ 1", 4), ("\uffff x\uffff", 2), ("中文 ab", 4), ("é", 1), ("", 1), ("a, b. c; d: e!", 6)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    count = approx_tokens(F.col("t"))
+    got = df.select("n", count.alias("m"))
+    assert [r["m"] for r in got.collect()] == [n for _, n in rows]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    # CJK runs, punctuation, and one pass for the words
+    assert plan.count("regexp_replace(") + plan.count("translate(") == 3
