@@ -26,6 +26,7 @@ from relmill.functions.text import (
     text_of,
 )
 from relmill.operators.text import evidence_array
+from relmill.plans.store import stored
 
 FIELDS = ("head", "relation", "tail", "evidence", "skill")
 WITNESS = ("source", "source_compact", "source_units")
@@ -478,6 +479,11 @@ def score_confidence(df: DataFrame) -> DataFrame:
 
 
 def split_by_confidence(df: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Rows of at least ``threshold`` and the others, without the witness.
+
+    The scored rows are written once: both tables read them, and neither scores again.
+    """
     scored = df if "confidence" in df.columns else score_confidence(df)
+    scored = stored(scored.drop(*WITNESS))
     high = F.col("confidence") >= threshold
-    return keep_where(scored, high), keep_where(scored, ~high)
+    return scored.where(high), scored.where(~high)
