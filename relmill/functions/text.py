@@ -61,7 +61,7 @@ def null_if_empty(c: Column) -> Column:
 
 def compact(c: Column) -> Column:
     """Drop every whitespace character."""
-    return F.regexp_replace(text_of(c), WS + "+", "")
+    return F.translate(text_of(c), WS_CHARS, "")
 
 
 def key_part(c: Column) -> Column:

@@ -274,42 +274,51 @@ def _supporting_unit(head: Column, tail: Column, units: Column) -> Column:
     return let(F.struct(compact(head).alias("h"), compact(tail).alias("t")), search)
 
 
-def with_support(df: DataFrame) -> DataFrame:
-    """Columns ``_cited`` (evidence is in the source) and ``_unit`` (supporting unit)."""
-    return df.withColumn(
-        "_cited", contains(F.col("source_compact"), compact(F.col("evidence")))
-    ).withColumn("_unit", _supporting_unit(F.col("head"), F.col("tail"), F.col("source_units")))
+def with_support(df: DataFrame, cited_too: bool = False) -> DataFrame:
+    """Columns ``_cited`` (evidence is in the source) and ``_unit`` (supporting unit).
+
+    A cited row is grounded without a unit, so its unit is null unless ``cited_too``.
+    """
+    unit = _supporting_unit(F.col("head"), F.col("tail"), F.col("source_units"))
+    told = df.withColumn("_cited", contains(F.col("source_compact"), compact(F.col("evidence"))))
+    return told.withColumn("_unit", unit if cited_too else F.when(~F.coalesce(F.col("_cited"), F.lit(False)), unit))
 
 
 def is_grounded() -> Column:
     return F.col("source").isNull() | F.col("_cited") | F.col("_unit").isNotNull()
 
 
-def chosen_evidence() -> Column:
+def with_evidence(df: DataFrame, where: Column | None = None) -> DataFrame:
+    """The shortest of the given evidence, the supporting unit and the joined fields that the source holds.
+
+    Takes the columns of :func:`with_support` (``cited_too``) away. Rows outside ``where`` keep their evidence.
+    """
     free = F.col("source").isNull()
-    given = strip(F.col("evidence"))
-    joined = strip(F.concat("head", "relation", "tail"))
-    options = [
-        F.when((given != "") & (free | F.col("_cited")), given),
-        F.when(~free, F.col("_unit")),
-        F.when((joined != "") & (free | contains(F.col("source_compact"), compact(joined))), joined),
-    ]
-    first, second, third = (F.coalesce(F.char_length(o), F.lit(2**31 - 1)) for o in options)
-    best = (
-        F.when((first <= second) & (first <= third), options[0])
-        .when(second <= third, options[1])
-        .otherwise(options[2])
+    given, joined = strip(F.col("evidence")), strip(F.concat("head", "relation", "tail"))
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(2**31 - 1))
+    # columns of their own, as they are read more than once; the joined fields are looked for in
+    # the source only if they would be the shortest
+    work = df.withColumns({"_given": F.when((given != "") & (free | F.col("_cited")), given), "_joined": joined})
+    unit = F.when(~free, F.col("_unit"))
+    shortest_ = (
+        (F.col("_joined") != "")
+        & (F.char_length("_joined") < F.least(size(F.col("_given")), size(unit)))
+        & (free | contains(F.col("source_compact"), compact(F.col("_joined"))))
     )
-    return F.coalesce(best, F.lit(""))
+    best = F.when(shortest_, F.col("_joined")).when(size(F.col("_given")) <= size(unit), F.col("_given")).otherwise(unit)
+    best = F.coalesce(best, F.lit(""))
+    if where is not None:
+        best = F.when(where, best).otherwise(F.col("evidence"))
+    return work.withColumn("evidence", best).drop("_cited", "_unit", "_given", "_joined")
 
 
 def ground_relations(df: DataFrame) -> DataFrame:
     """Keep relations that their witness supports; a null witness keeps everything."""
-    return keep_where(with_support(df), is_grounded()).drop("_cited", "_unit")
+    return keep_where(with_support(df, cited_too=True), is_grounded()).drop("_cited", "_unit")
 
 
 def select_evidence(df: DataFrame) -> DataFrame:
-    return with_support(df).withColumn("evidence", chosen_evidence()).drop("_cited", "_unit")
+    return with_evidence(with_support(df, cited_too=True))
 
 
 # ---- sanitising -----------------------------------------------------------------------------
@@ -355,11 +364,12 @@ def clean_fields(df: DataFrame, corpus_rules: bool = True) -> DataFrame:
 
 
 def judge_relations(
-    df: DataFrame, skills: Sequence[str] | None = None, corpus_rules: bool = True
+    df: DataFrame, skills: Sequence[str] | None = None, corpus_rules: bool = True, choose: bool = True
 ) -> DataFrame:
     """Cleaned relations with ``reason``: why a row is dropped, null when it is kept.
 
-    Rows that fail a cheap rule skip the search in the source.
+    Rows that fail a cheap rule skip the search in the source. Kept rows get their evidence
+    if ``choose``.
     """
     judged = clean_fields(df, corpus_rules).withColumn("reason", drop_reason(skills))
     judged = judged.withColumn(
@@ -369,19 +379,14 @@ def judge_relations(
     )
     passed = F.col("reason").isNull()
     supported = with_support(
-        judged.withColumn("source_units", F.when(passed, F.col("source_units")))
+        judged.withColumn("source_units", F.when(passed, F.col("source_units"))), cited_too=choose
     )
-    return (
-        supported.withColumn(
-            "reason", F.when(passed & ~F.coalesce(is_grounded(), F.lit(False)), "not grounded")
-            .otherwise(F.col("reason"))
-        )
-        .withColumn(
-            "evidence",
-            F.when(F.col("reason").isNull(), chosen_evidence()).otherwise(F.col("evidence")),
-        )
-        .drop("_cited", "_unit", *WITNESS)
+    grounded = supported.withColumn(
+        "reason", F.when(passed & ~F.coalesce(is_grounded(), F.lit(False)), "not grounded")
+        .otherwise(F.col("reason"))
     )
+    chosen = with_evidence(grounded, F.col("reason").isNull()) if choose else grounded.drop("_cited", "_unit")
+    return chosen.drop(*WITNESS)
 
 
 def sanitize_relations(

@@ -1,5 +1,10 @@
 """What is searched in the source, and how often."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from relmill.functions.text import WS, compact
 from relmill.operators import relations as M
 
 REL = "doc_id long, relation_ord int, head string, relation string, tail string, evidence string, skill string"
@@ -23,3 +28,34 @@ def test_split_by_confidence_scores_once(spark):
     assert high.inputFiles() and set(high.inputFiles()) == set(low.inputFiles())
     assert not set(M.WITNESS) & set(high.columns)
     assert [r.relation_ord for r in high.collect()] == [0] and [r.relation_ord for r in low.collect()] == [1]
+
+
+def chosen(source, head, relation, tail, evidence):
+    """The shortest of the three options, the first of equal ones."""
+    squeeze = lambda x: "".join(x.split())
+    units = [u.strip(" ，。；：,.;") for u in source.replace("！", "。").replace("\n", "。").split("。")]
+    both = [u for u in units if u and squeeze(tail) in squeeze(u) and squeeze(head) in squeeze(u)]
+    joined = (head + relation + tail).strip()
+    options = [evidence.strip()] if squeeze(evidence) and squeeze(evidence) in squeeze(source) else []
+    options += [min(both, key=len)] if both and squeeze(head) and squeeze(tail) else []
+    options += [joined] if joined and squeeze(joined) in squeeze(source) else []
+    return min(options, key=len, default="")
+
+
+def test_evidence_is_the_shortest_option(spark):
+    rng = random.Random(5)
+    source = "ab c d。a bcd！ abcd ee\nx ab y cd。c d a b，"
+    word = lambda n: "".join(rng.choice("ab cde") for _ in range(rng.randint(1, n)))
+    rows = [(1, i, word(3), word(1), word(3), word(7) * rng.randint(0, 1), "k") for i in range(400)]
+    out = M.select_evidence(witnessed(spark, source, rows))
+    found = {r.relation_ord: r.evidence for r in out.select("relation_ord", "evidence").collect()}
+    assert found == {r[1]: chosen(source, *r[2:6]) for r in rows}
+    # the evidence and the joined fields are each looked for once
+    assert searches(out) == 2
+
+
+def test_compact_drops_all_white_space(spark):
+    text = "".join(map(chr, (*range(1, 0xD800), *range(0xE000, 0x11000))))
+    row = spark.createDataFrame([(text,), (" \n",), ("",), (None,)], "t string")
+    both = row.select(compact(F.col("t")).alias("a"), F.regexp_replace(F.coalesce("t", F.lit("")), WS + "+", "").alias("b")).collect()
+    assert all(r.a == r.b for r in both) and len(both[0].a) < len(text)
