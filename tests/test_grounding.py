@@ -59,3 +59,14 @@ def test_compact_drops_all_white_space(spark):
     row = spark.createDataFrame([(text,), (" \n",), ("",), (None,)], "t string")
     both = row.select(compact(F.col("t")).alias("a"), F.regexp_replace(F.coalesce("t", F.lit("")), WS + "+", "").alias("b")).collect()
     assert all(r.a == r.b for r in both) and len(both[0].a) < len(text)
+
+
+def test_cited_relations_need_no_unit_to_be_grounded(spark):
+    source = "a b。c d"
+    rows = [(1, 0, "a", "r", "b", "a b", "k"), (1, 1, "c", "r", "d", "zz", "k"), (1, 2, "a", "r", "d", "zz", "k"), (1, 3, "a", "r", "d", "d", "k")]
+    told = {r.relation_ord: (r._cited, r._unit) for r in M.with_support(witnessed(spark, source, rows)).collect()}
+    assert told == {0: (True, None), 1: (False, "c d"), 2: (False, None), 3: (True, None)}
+    kept = M.ground_relations(witnessed(spark, source, rows))
+    assert sorted(r.relation_ord for r in kept.collect()) == [0, 1, 3]
+    free = M.ground_relations(M.without_witness(spark.createDataFrame(rows, REL)))
+    assert free.count() == 4
