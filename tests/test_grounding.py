@@ -70,3 +70,13 @@ def test_cited_relations_need_no_unit_to_be_grounded(spark):
     assert sorted(r.relation_ord for r in kept.collect()) == [0, 1, 3]
     free = M.ground_relations(M.without_witness(spark.createDataFrame(rows, REL)))
     assert free.count() == 4
+
+
+def test_dropped_relations_have_no_evidence_chosen(spark):
+    source = "甲旅位于乙区。丙团"
+    rows = [(1, 0, "甲旅", "位于", "乙区", "甲旅位于乙区", "k"), (1, 1, "甲旅", "位于", "丙团", "zz", "k"), (1, 2, "甲旅", "位于", "乙区", "a", "odd")]
+    kept, dropped = M.sanitize_relations(witnessed(spark, source, rows), ["k"])
+    assert [(r.relation_ord, r.evidence) for r in kept.collect()] == [(0, "甲旅位于乙区")]
+    assert sorted((r.relation_ord, r.evidence, r.reason) for r in dropped.collect()) == [(1, "zz", "not grounded"), (2, "a", "unknown skill")]
+    # only the cited evidence is looked for
+    assert searches(dropped) == 1
