@@ -40,25 +40,29 @@ def matches_of(head: Column, tail: Column, evidence: Column, sections: Column) -
 
     def search(q: Column) -> Column:
         def of_section(s: Column) -> Column:
-            def fits(x: Column) -> Column:
-                content = x["p"]["content"]
-                has_head, has_tail = F.contains(content, q["h"]), F.contains(content, q["t"])
-                return (
-                    contains(x["c"], q["e"])
-                    | ((q["h"] != "") & (q["t"] != "") & has_head & has_tail)
-                    | (contains(s["c"], q["e"]) & (has_head | has_tail))
+            def of_paragraphs(cited: Column) -> Column:
+                def fits(x: Column) -> Column:
+                    content = x["p"]["content"]
+                    has_head, has_tail = F.contains(content, q["h"]), F.contains(content, q["t"])
+                    return (
+                        contains(x["c"], q["e"])
+                        | ((q["h"] != "") & (q["t"] != "") & has_head & has_tail)
+                        | (cited & (has_head | has_tail))
+                    )
+
+                return F.transform(
+                    F.filter(s["ps"], fits),
+                    lambda x: F.struct(
+                        s["section_id"].alias("section_id"),
+                        x["p"]["page"].alias("page"),
+                        x["p"]["global_block_id"].alias("global_block_id"),
+                        x["p"]["bbox"].alias("bbox"),
+                        x["p"]["content"].alias("content"),
+                    ),
                 )
 
-            return F.transform(
-                F.filter(s["ps"], fits),
-                lambda x: F.struct(
-                    s["section_id"].alias("section_id"),
-                    x["p"]["page"].alias("page"),
-                    x["p"]["global_block_id"].alias("global_block_id"),
-                    x["p"]["bbox"].alias("bbox"),
-                    x["p"]["content"].alias("content"),
-                ),
-            )
+            # a section is searched once, not once for each of its paragraphs
+            return let(contains(s["c"], q["e"]), of_paragraphs)
 
         return F.flatten(F.transform(sections, of_section))
 
