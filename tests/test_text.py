@@ -180,3 +180,12 @@ def test_tokens_are_counted_in_few_passes(spark):
     plan = got._jdf.queryExecution().analyzed().toString()
     # CJK runs, punctuation, and one pass for the words
     assert plan.count("regexp_replace(") + plan.count("translate(") == 3
+
+
+def test_token_count_takes_words_as_wholes(spark):
+    """Against a plain count; latin words are matched whole, without a look back at every character."""
+    texts = ["", "x", "xx x-x", "--a-b, c-d.", "中文，abc中文-ab。", "éa-bé+c_9", "''\"\"[]【】()（）;:!?？！-", "😀 -x😀-", "a￿b x中"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    counted = rows.select("t", approx_tokens(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in counted.collect()} == {t: tokens(t) for t in texts}
+    assert "(?<!" not in counted._jdf.queryExecution().optimizedPlan().toString()
