@@ -80,3 +80,18 @@ def test_dropped_relations_have_no_evidence_chosen(spark):
     assert sorted((r.relation_ord, r.evidence, r.reason) for r in dropped.collect()) == [(1, "zz", "not grounded"), (2, "a", "unknown skill")]
     # only the cited evidence is looked for
     assert searches(dropped) == 1
+
+
+def test_names_are_looked_for_in_the_words_of_the_text(spark):
+    """The same answer as a search of the whole text, for names across blanks, tabs and line ends too."""
+    texts = ["", " ", "ab cd\nef", "ab  cd", "ab\tcd ef", "x；y z", " lead ab", "中文 ab中"]
+    names = ["", " ", "ab", "b c", "ab cd", "cd\nef", "b\tc", "ab\tcd", "d ef", "；y", "y z", "ab ", " ab", "  ", "中", "文 a", "xab", "d\nx"]
+    units = M.with_witness(spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string"))
+    pairs = units.crossJoin(spark.createDataFrame([(n,) for n in names], "name string"))
+    doc = F.coalesce("text", F.lit(""))
+    found = pairs.select("text", "name", M._held(doc, F.col("source_words"), F.col("name")).alias("held")).collect()
+    assert len(found) == (len(texts) + 1) * len(names)
+    for r in found:
+        assert r.held == bool(r.text and r.name and r.name in r.text), r
+    repeated = M.with_witness(spark.createDataFrame([("the same words " * 50,)], "text string")).first()
+    assert repeated.source_words.split(" ") == ["the", "same", "words", ""]
