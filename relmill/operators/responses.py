@@ -19,8 +19,17 @@ OPEN_FENCES = (r"\A```json", r"\A```")
 CLOSE_FENCE = r"```\z"
 LIST_KEY = '"relation_list"'
 # -------------------------------------------------------------------------------------------
-#: A string (to the end if it breaks off), a bracket, or what lies between.
-TOKEN = r'(?s)"(?:[^"\\]|\\.)*+"?|[\[\]{}]|[^"\[\]{}]++'
+_PLAIN, _STRING = r'[^"\[\]{}]++', r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _closed(depth: int) -> tuple[str, str]:
+    """Patterns of an object and of an array whose brackets all close, nested up to ``depth`` times."""
+    inner = "|".join([_PLAIN, _STRING, *(_closed(depth - 1) if depth else ())])
+    return rf"\{{(?:{inner})*+\}}", rf"\[(?:{inner})*+\]"
+
+
+#: A closed object (deeper ones come in parts), an array without objects, strings (to the end if one breaks off) and what lies between, or a bracket.
+TOKEN = rf"(?s){_closed(2)[0]}|\[(?:{_PLAIN}|{_STRING})*+\]|(?:{_PLAIN}|{_STRING}?)++|[\[\]{{}}]"
 
 
 def complete_objects(list_text: Column) -> Column:
@@ -28,17 +37,19 @@ def complete_objects(list_text: Column) -> Column:
 
     One walk over the tokens with the open brackets as a stack, so objects may be nested to
     any depth. The walk ends where a bracket closes none of its kind; an object still open
-    by then is left out.
+    by then is left out. What is found grows as a string, "token count;" after another: an array
+    would be copied element by element at each object.
     """
     start = F.struct(
         F.lit("").alias("open"), F.lit(1).alias("at"), F.lit(0).alias("first"), F.lit(False).alias("done"),
-        F.array().cast("array<struct<first:int,size:int>>").alias("found"),
+        F.lit("").alias("found"),
     )
     closes = F.create_map(F.lit("}"), F.lit("{"), F.lit("]"), F.lit("["))
 
     def step(acc: Column, token: Column) -> Column:
         opening = token.isin("{", "[")
         closing = token.isin("}", "]")
+        entire = F.startswith(token, F.lit("{")) & (token != "{")
         top = F.substring(acc["open"], -1, 1)
         torn = closing & (top != closes[token])
         stack = (
@@ -49,23 +60,27 @@ def complete_objects(list_text: Column) -> Column:
         outer = ~F.contains(acc["open"], F.lit("{"))
         ends = (token == "}") & ~torn & ~F.contains(stack, F.lit("{"))
         size = acc["at"] - acc["first"] + 1
+        place = lambda first, size: F.concat(acc["found"], first.cast("string"), F.lit(" "), size.cast("string"), F.lit(";"))
+        last = closing | entire | (F.startswith(token, F.lit("[")) & (token != "["))
         moved = F.struct(
             stack.alias("open"),
-            (acc["at"] + F.char_length(token)).alias("at"),
+            (acc["at"] + 1).alias("at"),
             F.when((token == "{") & outer, acc["at"]).otherwise(acc["first"]).alias("first"),
-            (torn | (closing & (stack == ""))).alias("done"),
-            F.when(ends, F.concat(acc["found"], F.array(F.struct(acc["first"].alias("first"), size.alias("size")))))
-            .otherwise(acc["found"])
-            .alias("found"),
+            (torn | (last & (stack == ""))).alias("done"),
+            F.when(entire & outer, place(acc["at"], F.lit(1))).when(ends, place(acc["first"], size)).otherwise(acc["found"]).alias("found"),
         )
         return F.when(acc["done"], acc).otherwise(moved)
 
-    tokens = F.regexp_extract_all(list_text, F.lit(TOKEN), 0)
-    found = F.aggregate(tokens, start, step, lambda acc: acc["found"])
-    return let(
-        F.struct(list_text.alias("t"), found.alias("f")),
-        lambda b: F.transform(b["f"], lambda o: b["t"].substr(o["first"], o["size"])),
-    )
+    def walk(tokens: Column) -> Column:
+        found = F.filter(F.split(F.aggregate(tokens, start, step, lambda acc: acc["found"]), ";"), lambda o: o != "")
+
+        def cut(o: Column) -> Column:
+            first, size = (F.get(F.split(o, " "), F.lit(i)).cast("int") for i in (0, 1))
+            return F.array_join(F.slice(tokens, first, size), "")
+
+        return F.transform(found, cut)
+
+    return let(F.regexp_extract_all(list_text, F.lit(TOKEN), 0), walk)
 
 
 def clean_reply(raw: Column) -> Column:
