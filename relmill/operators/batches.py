@@ -18,6 +18,7 @@ from relmill.functions.text import (
     null_if_empty,
     runs,
     strip,
+    text_of,
     unique_values,
 )
 from relmill.operators.sections import SECTION_TYPE, markdown_paragraph
@@ -48,7 +49,7 @@ def batch_struct(
     parent_title: Column | None = None,
     hard_split_index: Column | None = None,
 ) -> Column:
-    """One batch over a section array."""
+    """One batch over a section array; a ``text`` that is given must be stripped."""
 
     def build(ss: Column) -> Column:
         joined = F.array_join(
@@ -69,7 +70,7 @@ def batch_struct(
                 "page_end"
             ),
             F.flatten(F.transform(ss, lambda s: s["block_ids"])).alias("block_ids"),
-            (strip(joined) if text is None else strip(text)).alias("text"),
+            (strip(joined) if text is None else text).alias("text"),
             ss.alias("sections"),
             (F.lit(None) if hard_split_index is None else hard_split_index)
             .cast("int")
@@ -86,7 +87,7 @@ def _with_text(batches: Column) -> Column:
 def fixed_batches(sections: Column, size: int, mode: str) -> Column:
     """Every ``size`` consecutive sections."""
     if size == 1:
-        return _with_text(F.transform(sections, lambda s: batch_struct(F.array(s), mode)))
+        return _with_text(F.transform(sections, lambda s: batch_struct(F.array(s), mode, strip(text_of(s["text"])))))
     offsets = F.filter(
         F.transform(sections, lambda s, i: i), lambda i: i % F.lit(size) == 0
     )
@@ -158,54 +159,63 @@ def _with_paragraphs(section: Column, paragraphs: Column, text: Column) -> Colum
 
 
 def _first_occurrences(paragraphs: Column) -> Column:
-    """Drop repeats of (content, page, block), keeping the first paragraph of each."""
-    marker = lambda p: F.struct(
-        strip(p["content"]).alias("c"), p["page"].alias("p"), p["global_block_id"].alias("b")
+    """Drop repeats of (content, page, block), keeping the first paragraph of each; of structs of ``c``, the stripped content, and ``p``."""
+    marker = lambda x: F.struct(
+        x["c"].alias("c"), x["p"]["page"].alias("p"), x["p"]["global_block_id"].alias("b")
     )
     return let(
         F.transform(paragraphs, marker),
         lambda ms: F.filter(
-            paragraphs, lambda p, i: F.array_position(ms, marker(p)) == (i + 1)
+            paragraphs, lambda x, i: F.array_position(ms, marker(x)) == (i + 1)
         ),
     )
 
 
 def section_paragraph_batches(section: Column) -> Column:
-    """One batch per body paragraph, each led by the section's title paragraphs."""
+    """One batch per body paragraph, each led by the section's title paragraphs.
+
+    Every content is stripped once and kept beside its paragraph.
+    """
 
     def build(sec: Column) -> Column:
-        titles = F.array(strip(sec["title"]), strip(sec["parent_title"]))
-        all_ps = F.filter(sec["paragraphs"], lambda p: strip(p["content"]) != "")
-        context = F.filter(all_ps, lambda p: F.array_contains(titles, strip(p["content"])))
-        body = F.filter(all_ps, lambda p: ~F.array_contains(titles, strip(p["content"])))
+        stripped = F.transform(sec["paragraphs"], lambda p: F.struct(strip(p["content"]).alias("c"), p.alias("p")))
+
+        def split(b: Column) -> Column:
+            is_title = lambda x: F.array_contains(b["titles"], x["c"])
+            return let(
+                F.struct(F.filter(b["all"], is_title).alias("context"), F.filter(b["all"], lambda x: ~is_title(x)).alias("body")),
+                emit,
+            )
 
         def emit(b: Column) -> Column:
             has_body = F.size(b["body"]) > 0
             lead = F.when(has_body, b["context"]).otherwise(F.slice(b["context"], 1, 0))
             rows = F.when(has_body, b["body"]).otherwise(b["context"])
-            return F.transform(
-                rows,
-                lambda p: let(
-                    _first_occurrences(F.concat(lead, F.array(p))),
-                    lambda ps: let(
-                        F.array_join(F.transform(ps, lambda x: strip(x["content"])), "\n\n"),
-                        lambda t: batch_struct(
-                            F.array(_with_paragraphs(sec, ps, t)),
-                            "paragraph",
-                            text=t,
-                            parent_title=sec["parent_title"],
-                        ),
+            return let(lead, lambda first: F.transform(rows, lambda x: batch(first, x)))
+
+        def batch(lead: Column, x: Column) -> Column:
+            led = F.when(F.size(lead) > 0, _first_occurrences(F.concat(lead, F.array(x)))).otherwise(F.array(x))
+            return let(
+                led,
+                lambda xs: let(
+                    F.array_join(F.transform(xs, lambda y: y["c"]), "\n\n"),
+                    lambda t: batch_struct(
+                        F.array(_with_paragraphs(sec, F.transform(xs, lambda y: y["p"]), t)),
+                        "paragraph",
+                        text=t,
+                        parent_title=sec["parent_title"],
                     ),
                 ),
             )
 
-        return let(F.struct(context.alias("context"), body.alias("body")), emit)
+        titles = F.array(strip(sec["title"]), strip(sec["parent_title"]))
+        return let(F.struct(titles.alias("titles"), F.filter(stripped, lambda x: x["c"] != "").alias("all")), split)
 
     return _with_text(let(section, build))
 
 
 def _cut_batch(batch: Column, max_tokens: int) -> Column:
-    """Hard-split pieces of an over-budget batch."""
+    """Hard-split pieces of an over-budget batch; they come stripped."""
 
     def piece(text: Column, i: Column) -> Column:
         def one(sec: Column) -> Column:

@@ -131,17 +131,17 @@ def hard_cut_array(c: Column, max_tokens: int) -> Column:
 
     Separators are tried in priority order; one counts when it sits in the second half of
     the window. A greedy bounded quantifier finds the last such position, so the whole
-    operation is a single linear regex walk.
+    operation is a single linear regex walk. The first half is walked once for all separators,
+    and a rest within the window is told without going back.
     """
     window = max(1, int(max_tokens) * 2)
     floor = max(1, window // 2)
-    options = [rf".{{1,{window}}}\z"]
-    options += [
-        rf".{{{floor},{window - len(sep)}}}{sep}"
+    behind = "|".join(
+        rf".{{0,{window - len(sep) - floor}}}{sep}"
         for sep in HARD_CUT_SEPARATORS
         if window - len(sep) >= floor
-    ]
-    options.append(rf".{{{window}}}")
+    )
+    options = [rf".{{1,{window}}}+\z", *([rf".{{{floor}}}(?:{behind})"] if behind else []), rf".{{{window}}}"]
     walk = rf"(?s){WS}*+({'|'.join(options)})"
     return F.transform(F.regexp_extract_all(strip(text_of(c)), F.lit(walk), 1), strip)
 
