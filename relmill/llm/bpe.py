@@ -17,10 +17,10 @@ If they never agree, the window grows to the whole of both pieces, so the result
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import os
 import re
+import struct
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,15 +57,15 @@ def _byte_names() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """Bounded cache from a stretch of text to its ids."""
+    """Bounded cache from a stretch of text to its ids, as little-endian unsigned 32-bit integers: bytes are joined in one go."""
 
     def __init__(self, codec: Codec, before: str, limit: int = 300_000) -> None:
         super().__init__()
         self.codec, self.before, self.limit = codec, before, limit
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if piece.isalpha():
-            ids = self.codec.letters(self.before + piece)
+            ids = self.codec.letters(self.before, piece)
         elif piece[-1:] in _CLOSERS and piece[:-1].isalpha():
             ids = self[piece[:-1]] + self.codec.heads[piece[-1]]
         else:
@@ -110,14 +110,18 @@ class Codec:
         self.plain = not any(s.strip().isalpha() for s in specials)
         self.heads, self.words = _Pieces(self, ""), _Pieces(self, " ")
 
-    def direct(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tok.encode(text, add_special_tokens=False).ids)
+    def direct(self, text: str) -> bytes:
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def letters(self, text: str) -> tuple[int, ...]:
-        """Ids of letters after at most one space, which are one pre-token."""
+    def letters(self, before: str, text: str) -> bytes:
+        """Ids of letters after ``before``, at most one space, which are one pre-token."""
         if not self.plain:  # a special token may be all letters
-            return self.direct(text)
-        return tuple(t.id for t in self.tok.model.tokenize("".join(map(self.names.__getitem__, text.encode()))))
+            return self.direct(before + text)
+        # ASCII letters stand for themselves
+        named = text if text.isascii() else "".join(map(self.names.__getitem__, text.encode()))
+        ids = [t.id for t in self.tok.model.tokenize(self.names[32] + named if before else named)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text. It is cut before single spaces between words and around single
@@ -134,7 +138,7 @@ class Codec:
                 parts.append(heads["\n"])
             parts.append(heads[line[0]])
             parts.extend(map(words.__getitem__, line[1:]))
-        return np.fromiter(itertools.chain.from_iterable(parts), np.uint32)
+        return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, unknown ids nothing."""

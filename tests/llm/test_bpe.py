@@ -79,3 +79,12 @@ def test_query(spark, sf):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+def test_stretches_are_kept_as_bytes():
+    """Ids of a text are joined from bytes, not gathered one by one; letters beyond ASCII come by their bytes."""
+    of = bpe.Codec(bpe.default_path())
+    for text in ("the", "naïve", "你好", "word,"):
+        for pieces, before in ((of.heads, ""), (of.words, " ")):
+            ids = of.tok.encode(before + text, add_special_tokens=False).ids
+            assert pieces[text] == np.array(ids, "<u4").tobytes()
