@@ -42,6 +42,7 @@ from relmill.operators import routing as G
 from relmill.operators import skills as R
 from relmill.operators import text as T
 from relmill.operators.responses import RELATION_TYPE
+from relmill.operators.sections import build_sections
 from relmill.plans import corpus, product
 from relmill.sources import scans as S
 from relmill.sources import sinks as K
@@ -206,8 +207,12 @@ def assembly_outcome(spark, sf_dir):
 
 
 # ---- provenance -----------------------------------------------------------------------------
-def batch_relations(spark, sf_dir):
-    """Chapter batches with one relation per paragraph of their sections."""
+def batch_relations(spark, sf_dir, together: bool = False):
+    """Chapter batches with one relation per paragraph of their sections.
+
+    ``together``: the texts are dealt out by document first, so that what is grouped by document
+    later needs no shuffle, when every relation holds copies of its paragraphs.
+    """
 
     def relation(p, j):
         words = F.split(p["content"], " +")
@@ -223,7 +228,8 @@ def batch_relations(spark, sf_dir):
             F.lit("en").alias("skill"),
         )
 
-    rows = B.index_batches(B.batch_chapters(sections(spark, sf_dir)))
+    outline = outline_docs(spark, sf_dir, dealt=together)
+    rows = B.index_batches(B.batch_chapters(build_sections(outline, "text", True, keep=("doc_id", "text"))))
     relations = F.flatten(F.transform("sections", lambda s: F.transform(s["paragraphs"], relation)))
     return rows.withColumn("relations", relations)
 
@@ -304,7 +310,7 @@ def attach_sources(spark, sf_dir):
       CAST(n AS INTEGER) AS n_paragraphs FROM vfirst JOIN vsections USING (doc_id, kh, kr, kt, ke) JOIN vpars USING (doc_id, kh, kr, kt, ke)""",
 )
 def dedup_document(spark, sf_dir):
-    attached = V.attach_sources(batch_relations(spark, sf_dir)).drop("batch_index")
+    attached = V.attach_sources(batch_relations(spark, sf_dir, together=True)).drop("batch_index")
     return V.dedup_document(attached).select(
         "doc_id", "head", "relation", "tail", "evidence", "source_batch_index",
         F.array_join("source_sections", ",").alias("sections"), F.size("source_paragraphs").alias("n_paragraphs"),

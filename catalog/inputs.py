@@ -73,10 +73,11 @@ LINES = f"""lines AS (
 
 
 # ---- outline documents ------------------------------------------------------------------
-def outline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outline_docs(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
     """Documents with chapter, numbered and document titles put before some of their lines.
 
     Every line stays whole; a title is made from the beginning of the line it precedes.
+    ``dealt``: the documents are partitioned by ``doc_id``.
     """
 
     def titled(p: Column, i: Column) -> Column:
@@ -89,6 +90,8 @@ def outline_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_compact(F.array(title, p))
 
     docs = table(spark, sf_dir, "documents")
+    if dealt:
+        docs = docs.repartition("doc_id")
     text = F.array_join(F.flatten(F.transform(line_array(F.col("text")), titled)), "\n\n")
     return docs.select("doc_id", text.alias("text"))
 

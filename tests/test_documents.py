@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import document_queries
 from relmill.config import RunConfig
 from relmill.operators import layout as O
 from relmill.operators import prompts as PR
@@ -345,3 +346,12 @@ def test_streams_read_a_file_or_a_folder(spark, tmp_path, as_folder):
     assert sentences.count() == 12 and sentences.select("doc_id").distinct().count() == 6
     states = {r["task_id"]: (r["status"], r["n"]) for r in Q.failing_document(spark, str(tmp_path)).collect()}
     assert states == {str(i): ("failed", 0) if i == 1 else ("succeeded", 22) for i in range(6)}
+
+
+def test_document_dedup_moves_each_text_once(spark, tmp_path):
+    rows = [(i, "A b c.\n" * (i + 1), "en", "s", 7) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    df = document_queries.dedup_document(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert df.select("doc_id").distinct().count() == 5
