@@ -1,12 +1,14 @@
 """The run from layout results to document results, in turns with recorded replies."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from relmill.config import RunConfig, SplitConfig
 from relmill.operators import layout as O
 from relmill.operators.skills import Skill
-from relmill.plans import product
+from relmill.plans import product, store
 from relmill.streaming.tasks import STAGES
 
 LAYOUT = f"doc_id long, pages array<{O.PAGE_TYPE}>, restructured struct<markdownText:string,markdown:string,text:string," \
@@ -149,3 +151,9 @@ def test_waiting_documents_and_cached_routes(spark):
     assert [p["kind"] for p in second.prompts.collect()] == ["extraction"]
     cached = product.advance(taken, SKILLS, config, None, second.routes)
     assert [p["kind"] for p in cached.prompts.collect()] == ["extraction"]
+
+
+def test_stored_tables_are_packed_tightly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "work_dir", lambda spark: f"{tmp_path}/t")
+    assert store.stored(spark.range(3)).count() == 3
+    assert [f for f in os.listdir(tmp_path / "t") if f.endswith(".zstd.parquet")]
