@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from relmill.config import RunConfig, SplitConfig
 from relmill.operators import layout as O
 from relmill.operators.skills import Skill
+from relmill.operators.responses import RELATION_LIST
+from relmill.operators.rollups import COUNTS
 from relmill.plans import product, store
 from relmill.streaming.tasks import STAGES
 
@@ -153,6 +155,18 @@ def test_waiting_documents_and_cached_routes(spark):
     assert [p["kind"] for p in cached.prompts.collect()] == ["extraction"]
 
 
+def test_results_move_sizes_not_texts(spark):
+    taken = product.intake(layout(spark), SplitConfig())
+    state = (
+        "selected_skills array<string>, document_selected_skills array<string>, scores array<string>, cache_hit boolean, "
+        f"chunk_routes array<string>, chunk_predictions array<string>, relations {RELATION_LIST}, {' long, '.join(COUNTS)} long"
+    )
+    batches = taken.batches.join(spark.range(1).select(F.from_json(F.col("id").cast("string"), state).alias("s")).select("s.*"))
+    out = product.document_results(taken, batches).select("ocr_summary.document_text_length", "ocr_summary.relation_batch_count")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and plan.index("char_length(document_text") > plan.index("Join")
+
+
 def test_stored_tables_are_packed_tightly(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "work_dir", lambda spark: f"{tmp_path}/t")
     assert store.stored(spark.range(3)).count() == 3
